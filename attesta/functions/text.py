@@ -103,9 +103,14 @@ def alias_pattern(aliases: Iterable[str], case_sensitive: Iterable[str]) -> str:
     Scanning with it yields the leftmost-longest, non-overlapping hits, so no regex join against
     the alias table is needed. Group 1 is the hit.
     """
-    exact = set(case_sensitive)
-    ordered = sorted(aliases, key=lambda a: (-len(a), a))
-    parts = [java_quote(a) if a in exact else f"(?iu:{java_quote(a)})" for a in ordered]
+    exact = sorted(set(case_sensitive), key=lambda a: (-len(a), a))
+    loose = [a for a in aliases if a not in exact]
+    nested = any(e.lower().startswith(a.lower()) and len(a) < len(e) for e in exact for a in loose)
+    if nested:
+        ordered = sorted([*exact, *loose], key=lambda a: (-len(a), a))
+        parts = [java_quote(a) if a in exact else f"(?iu:{java_quote(a)})" for a in ordered]
+    else:
+        parts = [f"(?iu:{_by_first_letter(loose)})", *map(java_quote, exact)]
     return f"{BEFORE}({'|'.join(parts)}){AFTER}"
 
 
