@@ -173,7 +173,7 @@ def overall_caps(registry: Registry) -> Column:
     for track, _, rule, target, cap in _caps_of(registry, "overall"):
         missing = F.exists(
             "criteria",
-            lambda c, t=target: (c.criterion_id == t) & (c.anchor == "missing_unverifiable"),
+            lambda c: (c.criterion_id == target) & (c.anchor == "missing_unverifiable"),
         )
         parts.append(
             F.when(
@@ -192,12 +192,12 @@ def category_scores(registry: Registry) -> Column:
     rows = []
     for track, category, order, _, points in registry.category_rows():
         total = F.aggregate(
-            F.filter("criteria", lambda c, k=category: c.category_id == k),
+            F.filter("criteria", lambda c: c.category_id == category),
             F.lit(0), lambda acc, c: acc + c.awarded_points,
         )
         cap = F.array_min(
             F.transform(
-                F.filter("category_caps", lambda c, k=category: c.category_id == k), lambda c: c.cap
+                F.filter("category_caps", lambda c: c.category_id == category), lambda c: c.cap
             )
         )
         rows.append(
@@ -223,7 +223,7 @@ def project_choice(registry: Registry) -> Column:
     for project, track, _, _, core, exclusions in registry.project_rows():
         wanted = F.array(*[F.lit(c) for c in core])
         coverage = F.aggregate(
-            F.filter("criteria", lambda c, w=wanted: F.array_contains(w, c.criterion_id)),
+            F.filter("criteria", lambda c: F.array_contains(wanted, c.criterion_id)),
             F.lit(0), lambda acc, c: acc + c.max_points - c.awarded_points,
         )
         excluded = F.arrays_overlap(
