@@ -70,7 +70,6 @@ def url_key(url: Column) -> Column:
     )
 
 
-@F.pandas_udf("string")
 def _idna(hosts: pd.Series) -> pd.Series:
     def encode(name):
         try:
@@ -88,7 +87,7 @@ def normalize_submitted_url(url: Column, with_idna: bool = False) -> Column:
     """
     name = host(url)
     if with_idna:
-        name = F.when(name.rlike("^[\\x00-\\x7f]*$"), name).otherwise(_idna(name))
+        name = F.when(name.rlike(r"^[\x00-\x7f]*$"), name).otherwise(F.pandas_udf(_idna, "string")(name))
     default = ((scheme(url) == "http") & (port(url) == 80)) | ((scheme(url) == "https") & (port(url) == 443))
     suffix = F.when(port(url).isNull() | default, "").otherwise(F.concat(F.lit(":"), port(url)))
     user = F.when(user_info(url) == "", "").otherwise(F.concat(user_info(url), F.lit("@")))

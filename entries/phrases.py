@@ -39,3 +39,37 @@ PHRASES = (
     "Spring Boot, Django, FastAPI, Node.js and Express.js were used during a long course that covered many small exercises, none of them finished, and that only names the tools without saying what has been done with any of them, so that it counts as a list of names and nothing more than that",
     "Notebook with README, setup and how to run it",
 )
+
+JOB_PHRASES = (
+    "Job title: Junior Software Developer",
+    "Requirements: 0-2 years of experience. JavaScript, React and Git are required",
+    "A degree is preferred, and we welcome every applicant who can show good work of any kind",
+    "Submit your GitHub profile",
+    "Location: Cape Town",
+    "Excellent written and verbal communication skills and willingness to learn are important for this role",
+    "Company: Acme Data",
+    "Based in Johannesburg, Gauteng. This is a hybrid role",
+    "SQL, advanced Excel with pivot tables, Power BI and Python",
+    "Senior Data Analyst",
+    "No prior experience is required",
+    "A portfolio is preferred but optional",
+    "Minimum of 3 years, must know Docker, AWS and PostgreSQL",
+    "Fully remote",
+    "You will clean raw data, present findings to non-technical stakeholders and prepare written reports",
+    "Knowledge of Node.js, .NET and C# is essential. Experience with SQL Server and MongoDB",
+    "Up to 4 years",
+    "Graduate programme with mentorship provided",
+    "On-site in Durban, South Africa",
+    "Statistics, data modelling and R",
+    "5+ years",
+    "About us: equal opportunity and many benefits, requirements apply",
+    "Problem-solving, time management, critical thinking",
+    "National Diploma or certificate",
+    "pandas, NumPy and matplotlib",
+    "Tableau, Looker Studio and Google Sheets",
+    "Software engineer intern",
+    "Bachelor's degree in statistics is a must, this qualification is mandatory for the position",
+    "Cookie settings",
+    "TypeScript, Angular, HTML/CSS and PHP",
+    "Java, Spring and Kubernetes on Azure",
+)
