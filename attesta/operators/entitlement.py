@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions.text import strip
+from attesta.operators.ordering import first_of_both
 
 # The one approved product.
 PRODUCT = {
@@ -168,48 +169,51 @@ def fulfil(events: DataFrame, payments: DataFrame) -> DataFrame:
         F.col("provider_reference").alias("reference"), "payment_id", "status",
         F.col("provider_transaction_id").alias("stored_id"),
     )
-    order = ("paid_at", "event_id")
-    first_of_payment = events.groupBy("reference").agg(
-        F.min_by("transaction_id", F.struct(*order)).alias("first_id"),
-        F.min(F.struct(*order)).alias("first_place"),
-    )
     owner = payments.filter(F.col("provider_transaction_id").isNotNull()).select(
         F.col("provider_transaction_id").alias("transaction_id"), F.col("payment_id").alias("other_id")
     )
     joined = (
-        events.join(keyed, "reference", "left")
-        .join(first_of_payment, "reference")
+        events.withColumn("place", F.struct("paid_at", "event_id"))
+        .join(keyed, "reference", "left")
         .join(owner, "transaction_id", "left")
     )
-    winner = F.coalesce("stored_id", "first_id")
+    taken = F.col("other_id").isNotNull() & (F.col("other_id") != F.col("payment_id"))
+    open_ones = joined.filter(
+        F.col("stored_id").isNull() & F.col("other_id").isNull() & F.col("status").isin(*ACTIVE)
+    )
+    winners = first_of_both(open_ones, "place", "reference", "transaction_id").select(
+        "reference", F.col("place").alias("won_place"), F.col("transaction_id").alias("won_id")
+    )
     status = (
         F.when(F.col("payment_id").isNull(), "not_found")
-        .when(F.col("other_id").isNotNull() & (F.col("other_id") != F.col("payment_id")), "conflict")
-        .when(F.col("transaction_id") != winner, "conflict")
-        .when(F.col("stored_id").isNotNull(), "idempotent")
-        .when(~F.col("status").isin(*ACTIVE), "conflict")
-        .when(F.struct(*order) == F.col("first_place"), "unlocked")
-        .otherwise("idempotent")
+        .when(taken, "conflict")
+        .when(F.col("stored_id") == F.col("transaction_id"), "idempotent")
+        .when(F.col("stored_id").isNotNull() | ~F.col("status").isin(*ACTIVE), "conflict")
+        .when(F.col("place") == F.col("won_place"), "unlocked")
+        .when(F.col("transaction_id") == F.col("won_id"), "idempotent")
+        .otherwise("conflict")
+    )
+    return joined.join(winners, "reference", "left").select(
+        "event_id", "reference", "transaction_id", "paid_at", status.alias("outcome")
     )
-    return joined.select("event_id", "reference", "transaction_id", status.alias("outcome"))
 
 
 def attempt_states(changes: DataFrame) -> DataFrame:
     """State of each payment attempt after its changes; a change that is not allowed is ignored.
 
     ``changes``: payment_id, seq, change (created, initialized, failed, succeeded). Only the first
-    of each kind can matter, so four minima per attempt decide it and no ordered fold is needed.
+    change of each kind after the creation can matter, so minima per attempt decide it and no
+    ordered fold over an attempt is needed.
     """
-    at = lambda kind: F.min(F.when(F.col("change") == kind, F.col("seq")))
-    firsts = changes.groupBy("payment_id").agg(
-        at("created").alias("created"), *[
-            F.array_sort(F.collect_set(F.when(F.col("change") == k, F.col("seq")))).alias(k)
-            for k in ("initialized", "failed", "succeeded")
-        ],
-    )
-    after = lambda seqs, start: F.array_min(F.filter(seqs, lambda s: s > start))
-    rows = firsts.filter(F.col("created").isNotNull())
-    rows = rows.select("payment_id", *[after(F.col(k), F.col("created")).alias(k) for k in ("initialized", "failed", "succeeded")])
+    created = changes.filter(F.col("change") == "created").groupBy("payment_id").agg(
+        F.min("seq").alias("created")
+    )
+    at = lambda kind: F.min(
+        F.when((F.col("change") == kind) & (F.col("seq") > F.col("created")), F.col("seq"))
+    )
+    firsts = changes.join(created, "payment_id").groupBy("payment_id").agg(
+        *[at(k).alias(k) for k in ("initialized", "failed", "succeeded")]
+    )
     never = F.lit(2**62)
     i, f, s = (F.coalesce(k, never) for k in ("initialized", "failed", "succeeded"))
     state = (
@@ -218,4 +222,4 @@ def attempt_states(changes: DataFrame) -> DataFrame:
         .when(i < never, "INITIALIZED")
         .otherwise("INITIALIZING")
     )
-    return rows.select("payment_id", state.alias("state"))
+    return firsts.select("payment_id", state.alias("state"))

@@ -63,3 +63,30 @@ def rank_struct(*cols: Column) -> Column:
 def earliest(order: Sequence[str]) -> list[Column]:
     """Order columns negated, so that the maximum is the earliest row."""
     return [-F.col(c) for c in order]
+
+
+def first_of_both(rows: DataFrame, order: str, key_a: str, key_b: str) -> DataFrame:
+    """Rows that repeat no earlier kept row in either key. ``key_b`` may be null.
+
+    A row only competes with rows that were kept, so a chain of repeats is decided in rounds: a row
+    is kept once it is the first undecided one of both its keys, and dropped once a kept one shares
+    a key. Every round decides all such rows at once; keys merge by partial aggregation.
+    """
+    narrow = cut(rows.select(order, key_a, key_b))
+    kept = narrow.limit(0)
+    while not narrow.isEmpty():
+        first_a = narrow.groupBy(key_a).agg(F.min(order).alias("_first_a"))
+        first_b = (
+            narrow.filter(F.col(key_b).isNotNull()).groupBy(key_b).agg(F.min(order).alias("_first_b"))
+        )
+        ranked = narrow.join(first_a, key_a).join(first_b, key_b, "left")
+        is_first = (F.col("_first_a") == F.col(order)) & (
+            F.col("_first_b").isNull() | (F.col("_first_b") == F.col(order))
+        )
+        chosen = cut(ranked.filter(is_first).select(order, key_a, key_b))
+        kept = kept.unionByName(chosen)
+        rest = narrow.join(chosen.select(key_a), key_a, "left_anti").join(
+            chosen.filter(F.col(key_b).isNotNull()).select(key_b), key_b, "left_anti"
+        )
+        narrow = cut(rest.select(order, key_a, key_b))
+    return kept

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from attesta.functions import posts as P
 from attesta.functions import text as T
 from attesta.functions import urls as U
-from attesta.operators.ordering import number_rows
+from attesta.operators.ordering import first_of_both, number_rows
 from attesta.registry import post_values as V
 from attesta.sources.blocks import distinct_paragraphs
 
@@ -189,39 +189,15 @@ def new_posts(incoming: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def first_of_each(posts: DataFrame, order: str = "page_id") -> DataFrame:
-    """Posts of one batch that repeat no earlier kept post of it, by URL or by signature.
-
-    A post is only compared with posts that were kept, so a chain of repeats is decided in rounds:
-    a post is kept once it is the first undecided one of both its keys, and dropped once a kept one
-    shares a key. Every round decides all first posts at once; keys merge by partial aggregation.
-    """
-    from attesta.operators.ordering import cut
-
-    open_posts = cut(post_keys(posts))
-    narrow = open_posts.select("track", order, "url_key", "signature")
-    kept = None
-    while True:
-        by_url = narrow.groupBy("track", "url_key").agg(F.min(order).alias("first_url"))
-        by_sign = narrow.filter(F.col("signature").isNotNull()).groupBy("track", "signature").agg(
-            F.min(order).alias("first_sign")
-        )
-        ranked = narrow.join(by_url, ["track", "url_key"]).join(by_sign, ["track", "signature"], "left")
-        first = (F.col("first_url") == F.col(order)) & (
-            F.col("first_sign").isNull() | (F.col("first_sign") == F.col(order))
-        )
-        round_kept = cut(ranked.filter(first).select("track", order, "url_key", "signature"))
-        kept = round_kept if kept is None else kept.unionByName(round_kept)
-        rest = (
-            narrow.join(round_kept.select("track", "url_key").distinct(), ["track", "url_key"], "left_anti")
-            .join(
-                round_kept.filter(F.col("signature").isNotNull()).select("track", "signature").distinct(),
-                ["track", "signature"],
-                "left_anti",
-            )
-        )
-        narrow = cut(rest)
-        if narrow.isEmpty():
-            return open_posts.join(kept.select("track", order), ["track", order], "left_semi")
+    """Posts of one batch that repeat no earlier kept post of their track."""
+    keyed = post_keys(posts)
+    by_track = keyed.select(
+        F.col(order),
+        F.concat_ws(" ", "track", "url_key").alias("_url"),
+        F.when(F.col("signature").isNotNull(), F.concat_ws(" ", "track", "signature")).alias("_sign"),
+    )
+    kept = first_of_both(by_track, order, "_url", "_sign").select(order)
+    return keyed.join(kept, order, "left_semi")
 
 
 def id_number(post_id: Column) -> Column:
