@@ -8,12 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
 
 from attesta.operators.entitlement import STALE_SECONDS, fulfil
-from attesta.streaming.tables import read_before, run_available, write_batch
+from attesta.streaming.tables import names, read_before, run_available, write_batch
 
-OUTCOME = StructType.fromDDL(
+OUTCOME = (
     "event_id long, reference string, transaction_id string, paid_at timestamp, outcome string"
 )
 
@@ -41,7 +40,7 @@ def unlock(events: DataFrame, payments: DataFrame, out: str, checkpoint: str) ->
                 F.when(F.col("provider_transaction_id").isNotNull(), "SUCCEEDED").otherwise(F.col("status")),
             )
         )
-        write_batch(fulfil(batch, current).select(*OUTCOME.names), out, batch_id)
+        write_batch(fulfil(batch, current).select(*names(OUTCOME)), out, batch_id)
 
     run_available(distinct_events(events), handle, checkpoint)
 
