@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,124 +25,188 @@ def pattern_flags(pattern: str) -> str:
     return "(?U)" if ")R(" in pattern else ANY
 
 
-def first_position(text: Column, patterns) -> Column:
+def required_text(pattern: str) -> str | None:
+    """Longest plain text that every match of a pattern holds, null when there is none.
+
+    Searching plain text is far cheaper than running a Unicode-aware pattern, and most labels
+    occur in few posts.
+    """
+    plain = pattern.lower()
+    while re.search(r"\([^()]*\)\??", plain):
+        plain = re.sub(r"\([^()]*\)\??", "\0", plain)
+    plain = re.sub(r"\[[^\]]*\](?:\{[^}]*\}|[?*+])?", "\0", plain)
+    plain = re.sub(r"\\([.#])", r"\1", plain)
+    plain = re.sub(r"\\[a-z][*+?]?", "\0", plain)
+    plain = re.sub(r"[a-z0-9.#][?*]", "\0", plain)
+    if "|" in plain:
+        return None
+    parts = re.findall(r"[a-z0-9 .#'-]+", plain)
+    longest = max(parts, key=len, default="")
+    return longest if len(longest) > 1 else None
+
+
+def guarded(folded: Column, pattern: str, value: Column) -> Column:
+    """The value where the plain text of the pattern occurs, else null."""
+    plain = required_text(pattern)
+    return value if plain is None else F.when(folded.contains(plain), value)
+
+
+def holds_any(folded: Column, *plain: str) -> Column:
+    test = folded.contains(plain[0])
+    for other in plain[1:]:
+        test = test | folded.contains(other)
+    return test
+
+
+def first_position(text: Column, patterns, folded: Column | None = None) -> Column:
     """Earliest start over all patterns, null when none occurs."""
+    low = folded if folded is not None else T.fold_case(text)
     spots = [
-        F.nullif(F.regexp_instr(text, F.lit(pattern_flags(p) + p)), F.lit(0)) for p in patterns
+        guarded(low, p, F.nullif(F.regexp_instr(text, F.lit(pattern_flags(p) + p)), F.lit(0)))
+        for p in patterns
     ]
     return F.least(*spots) if len(spots) > 1 else spots[0]
 
 
-def vocabulary_labels(text: Column, name: str) -> Column:
+def vocabulary_labels(text: Column, name: str, folded: Column | None = None) -> Column:
     """Labels of a vocabulary that occur, ordered by first position."""
     hits = [
-        F.when(
-            first_position(text, patterns).isNotNull(),
-            F.struct(
-                first_position(text, patterns).alias("pos"), F.lit(i).alias("ord"), F.lit(label).alias("label")
-            ),
+        F.struct(
+            first_position(text, patterns, folded).alias("pos"), F.lit(i).alias("ord"),
+            F.lit(label).alias("label"),
         )
         for i, (label, patterns) in enumerate(V.VOCABULARIES[name].items())
     ]
-    return F.transform(F.array_sort(F.array_compact(F.array(*hits))), lambda h: h.label)
+    found_ones = F.filter(F.array(*hits), lambda h: h.pos.isNotNull())
+    return F.transform(F.array_sort(found_ones), lambda h: h.label)
 
 
-def verbatim(text: Column, patterns) -> Column:
+def verbatim(text: Column, patterns, folded: Column | None = None) -> Column:
     """First quote of each phrase, ordered by position, at most eight: a limit of the record."""
+    low = folded if folded is not None else T.fold_case(text)
     hits = []
     for p in patterns:
         quote = F.regexp_extract(text, f"{ANY}({p})", 1)
         clean = F.regexp_replace(T.collapse_spaces(quote), r"^[ ,.;:]+|[ ,.;:]+$", "")
-        hits.append(
-            F.when(
-                clean != "",
-                F.struct(F.regexp_instr(text, F.lit(ANY + p)).alias("pos"), clean.alias("value")),
-            )
-        )
-    ordered = F.array_sort(F.array_compact(F.array(*hits)))
-    return F.transform(F.slice(ordered, 1, VERBATIM), lambda h: h.value)
+        at = F.regexp_instr(text, F.lit(ANY + p))
+        hits.append(guarded(low, p, T.bind(clean, _placed(at))))
+    told = F.array_compact(F.array(*hits))
+    return F.transform(F.slice(F.array_sort(told), 1, VERBATIM), lambda h: h.value)
+
+
+def _placed(at: Column):
+    return lambda value: F.when(value != "", F.struct(at.alias("pos"), value.alias("value")))
 
 
 def _years(text: Column, index: int) -> Column:
+    """First hit of one years pattern. Numbers are read from the hit, not from the text again."""
     pattern, kind = V.YEARS[index]
-    whole = F.regexp_extract(text, f"{ANY}({pattern})", 1)
-    first = F.regexp_extract(text, f"{ANY}{pattern}", 1).try_cast("int")
-    start = F.regexp_instr(text, F.lit(ANY + pattern))
-    if kind == "range":
-        second = F.regexp_extract(text, f"{ANY}{pattern}", 2).try_cast("int")
-        shown, top = F.concat_ws("-", first, second), F.greatest(first, second)
-    elif kind == "minimum":
-        plus = whole.contains("+") | found(whole, "minimum|at least")
-        shown, top = F.when(plus, F.concat(first, F.lit("+"))).otherwise(first.cast("string")), first
-    elif kind == "open":
-        shown, top = F.concat(first, F.lit("+")), first
-    elif kind == "limit":
-        shown, top = F.concat(F.lit("0-"), first), first
-    else:
-        shown, top = first.cast("string"), first
-    return F.when(
-        start > 0,
-        F.struct(
-            (start - 1 + index).alias("key"), F.lit(index).alias("ord"), shown.alias("shown"), top.alias("top")
-        ),
-    )
 
+    def told(whole):
+        numbers = F.transform(F.regexp_extract_all(whole, F.lit(r"(?U)(\d+)"), F.lit(1)), lambda n: n.try_cast("int"))
+        first, top = F.get(numbers, F.lit(0)), F.array_max(numbers)
+        plus = F.concat(first, F.lit("+"))
+        shown = {
+            "range": F.array_join(F.transform(numbers, lambda n: n.cast("string")), "-"),
+            "minimum": F.when(whole.contains("+") | found(whole, "minimum|at least"), plus).otherwise(first.cast("string")),
+            "open": plus,
+            "limit": F.concat(F.lit("0-"), first),
+            "plain": first.cast("string"),
+        }[kind]
+        return F.when(
+            whole != "",
+            F.struct(
+                (F.regexp_instr(text, F.lit(ANY + pattern)) - 1 + index).alias("key"),
+                F.lit(index).alias("ord"), shown.alias("shown"), top.alias("top"),
+            ),
+        )
 
-def experience(text: Column) -> Column:
+    return T.bind(F.regexp_extract(text, f"{ANY}({pattern})", 1), told)
+
+
+def experience(text: Column, folded: Column | None = None) -> Column:
     """Struct of shown years and their maximum.
 
     The key of a hit is its position plus the number of its pattern, as published.
     """
-    best = F.array_min(F.array_compact(F.array(*[_years(text, i) for i in range(len(V.YEARS))])))
+    low = folded if folded is not None else T.fold_case(text)
+    hits = F.array(*[F.when(holds_any(low, "year", "yr"), _years(text, i)) for i in range(len(V.YEARS))])
     none = F.when(
         found(text, V.NO_EXPERIENCE), F.struct(F.lit("0").alias("shown"), F.lit(0).alias("top"))
     ).otherwise(F.struct(F.lit("Not specified").alias("shown"), F.lit(None).cast("int").alias("top")))
-    return F.coalesce(F.when(best.isNotNull(), F.struct(best.shown.alias("shown"), best.top.alias("top"))), none)
+    best = F.transform(
+        F.slice(F.array_sort(F.array_compact(hits)), 1, 1),
+        lambda h: F.struct(h.shown.alias("shown"), h.top.alias("top")),
+    )
+    return T.bind(best, lambda b: F.when(F.size(b) > 0, F.get(b, F.lit(0))).otherwise(none))
 
 
-def qualification(text: Column) -> Column:
+def qualification(text: Column, folded: Column | None = None) -> Column:
     """Degree wish by the words around each degree word, the first telling one decides."""
-    pieces = F.split(text, ANY + V.DEGREE, -1)
-    words = F.regexp_extract_all(text, F.lit(f"{ANY}({V.DEGREE})"), F.lit(1))
-    between = F.arrays_zip(F.slice(pieces, 1, F.size(words)).alias("piece"), words.alias("word"))
+    low = folded if folded is not None else T.fold_case(text)
+    degree = holds_any(low, "bachelor", "degree", "bsc", "bcom", "diploma", "tertiary")
 
     def step(acc, item):
         start = acc.pos + F.length(item.piece)
         end = start + F.length(item.word)
-        low = F.greatest(start - 100, F.lit(0))
-        context = F.substring(text, low + 1, end + 100 - low)
-        told = F.when(found(context, V.DEGREE_PREFERRED), "Degree preferred").when(
-            found(context, V.DEGREE_REQUIRED), "Degree required"
-        )
-        return F.struct(end.alias("pos"), F.coalesce(acc.told, told).alias("told"))
 
-    start = F.struct(F.lit(0).alias("pos"), F.lit(None).cast("string").alias("told"))
-    told = F.aggregate(between, start, step, lambda acc: acc.told)
-    return (
-        F.when(F.size(words) > 0, F.coalesce(told, F.lit("Degree required")))
-        .when(found(text, V.CERTIFICATE), "Certificate/bootcamp mentioned")
-        .otherwise("No qualification specified")
+        def judge(context):
+            return F.when(found(context, V.DEGREE_PREFERRED), "Degree preferred").when(
+                found(context, V.DEGREE_REQUIRED), "Degree required"
+            )
+
+        from_ = F.greatest(start - 100, F.lit(0))
+        told = T.bind(F.substring(text, from_ + 1, end + 100 - from_), judge)
+        return F.struct(end.alias("pos"), F.when(acc.told.isNotNull(), acc.told).otherwise(told).alias("told"))
+
+    def walk(hit):
+        between = F.arrays_zip(F.slice(hit.pieces, 1, F.size(hit.words)).alias("piece"), hit.words.alias("word"))
+        start = F.struct(F.lit(0).alias("pos"), F.lit(None).cast("string").alias("told"))
+        told = F.aggregate(between, start, step, lambda acc: acc.told)
+        return F.when(F.size(hit.words) > 0, F.coalesce(told, F.lit("Degree required")))
+
+    hit = F.struct(
+        F.split(text, ANY + V.DEGREE, -1).alias("pieces"),
+        F.regexp_extract_all(text, F.lit(f"{ANY}({V.DEGREE})"), F.lit(1)).alias("words"),
     )
+    other = F.when(
+        holds_any(low, "certificat", "bootcamp") & found(text, V.CERTIFICATE), "Certificate/bootcamp mentioned"
+    ).otherwise("No qualification specified")
+    return F.coalesce(F.when(degree, T.bind(hit, walk)), other)
 
 
-def portfolio(text: Column) -> Column:
+def portfolio(text: Column, folded: Column | None = None) -> Column:
     """Struct of the request flag and its level, from the sentence around the request."""
+    low = folded if folded is not None else T.fold_case(text)
 
     def asked(pattern):
-        start = F.regexp_instr(text, F.lit(ANY + pattern))
-        hit = F.regexp_extract(text, f"{ANY}({pattern})", 1)
-        left = F.regexp_extract(F.substring(text, F.lit(1), start - 1), r"([^.\n]*)\z", 1)
-        rest = F.substring(text, start + F.length(hit), F.length(text))
-        right = F.when(rest.rlike(r"[.\n]"), F.regexp_extract(rest, r"^([^.\n]*)", 1)).otherwise(
-            F.substring(rest, 1, 100)
-        )
-        level = F.when(found(F.concat(left, hit, right), V.PORTFOLIO_OPTIONAL), "Preferred")
-        return F.when(start > 0, F.coalesce(level, F.lit("Required")))
-
-    level = F.coalesce(*[asked(p) for p in V.PORTFOLIO])
-    return F.struct(
-        F.when(level.isNull(), "N").otherwise("Y").alias("requested"),
-        F.coalesce(level, F.lit("Not Mentioned")).alias("level"),
+        def told(hit):
+            start = F.regexp_instr(text, F.lit(ANY + pattern))
+
+            def judge(span):
+                # cut at the last and the next full stop or line end
+                before = F.translate(F.substring(text, F.lit(1), span.start - 1), "\n", ".")
+                after = F.translate(
+                    F.substring(text, span.start + F.length(hit), F.length(text)), "\n", "."
+                )
+                left = F.substring_index(before, ".", -1)
+                right = F.when(after.contains("."), F.substring_index(after, ".", 1)).otherwise(
+                    F.substring(after, 1, 100)
+                )
+                optional = found(F.concat(left, hit, right), V.PORTFOLIO_OPTIONAL)
+                return F.when(optional, "Preferred").otherwise("Required")
+
+            return F.when(hit != "", T.bind(F.struct(start.alias("start")), judge))
+
+        return T.bind(F.regexp_extract(text, f"{ANY}({pattern})", 1), told)
+
+    may = holds_any(low, "portfolio", "github", "code sample")
+    level = F.coalesce(*[F.when(may, asked(p)) for p in V.PORTFOLIO])
+    return T.bind(
+        F.coalesce(level, F.lit("Not Mentioned")),
+        lambda x: F.struct(
+            F.when(x == "Not Mentioned", "N").otherwise("Y").alias("requested"), x.alias("level")
+        ),
     )
 
 
@@ -191,30 +257,33 @@ def work_type(text: Column, location_type: Column) -> Column:
     return chain.otherwise("")
 
 
-def requirement_score(paragraph: Column, labels: Column) -> Column:
-    """How much a paragraph speaks of requirements."""
-    low = F.lower(paragraph)
-    named = F.size(
-        F.filter(labels, lambda label: low.contains(F.split_part(F.lower(label), F.lit(" ("), F.lit(1))))
-    )
+def label_keys(labels: Column) -> Column:
+    """Labels as they are looked for in a paragraph."""
+    return F.transform(labels, lambda x: F.split_part(F.lower(x), F.lit(" ("), F.lit(1)))
+
+
+def requirement_score(paragraph: Column, low: Column, keys: Column) -> Column:
+    """How much a paragraph speaks of requirements. ``low`` is its lower-case form."""
+    named = F.size(F.filter(keys, lambda key: low.contains(key)))
     talk = F.when(found(paragraph, V.PAGE_TALK), 5).otherwise(0)
     length = F.least(F.floor(F.length(paragraph) / 120), F.lit(4)).cast("int")
     return F.regexp_count(paragraph, F.lit(ANY + V.REQUIREMENT_WORDS)) * 4 + named * 2 + length - talk
 
 
-def key_requirements(paragraphs: Column, labels: Column) -> Column:
+def key_requirements(paragraphs: Column, keys: Column) -> Column:
     """The paragraph with the best score, the first one on a tie."""
-    long_ones = F.filter(paragraphs, lambda p: F.length(p) >= 40)
-    best = F.aggregate(
+    long_ones = F.transform(
+        F.filter(paragraphs, lambda p: F.length(p) >= 40),
+        lambda p, i: F.struct(p.alias("text"), F.lower(p).alias("low"), (-i).alias("place")),
+    )
+    scored = F.transform(
         long_ones,
-        F.struct(F.lit(-1).alias("score"), F.lit("").alias("text")),
-        lambda acc, p: F.when(
-            requirement_score(p, labels) > acc.score,
-            F.struct(requirement_score(p, labels).alias("score"), p.alias("text")),
-        ).otherwise(acc),
-        lambda acc: acc.text,
+        lambda x: F.struct(
+            requirement_score(x.text, x.low, keys).alias("score"), x.place.alias("place"), x.text.alias("text")
+        ),
     )
-    return F.substring(best, 1, KEY_CHARS)
+    best = F.array_max(F.filter(scored, lambda x: x.score > -1))
+    return F.coalesce(F.substring(best.text, 1, KEY_CHARS), F.lit(""))
 
 
 def location_warning(location: Column, country: Column, text: Column) -> Column:

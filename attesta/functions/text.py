@@ -24,6 +24,11 @@ def java_quote(text: str) -> str:
     return re.sub(r"([^A-Za-z0-9\s])", r"\\\1", text)
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(col: Column) -> Column:
     """Cut Unicode whitespace at both ends."""
     return F.regexp_replace(col, STRIP, "")
@@ -156,6 +161,4 @@ class CueScanner:
                 for part in (F.lit(phrase), F.array(*[F.lit(g) for g in sorted(found)]))
             ]
         )
-        return F.when(F.size(hits) == 0, F.array().cast("array<string>")).otherwise(
-            F.array_distinct(F.flatten(F.transform(hits, lambda h: names[fold_case(h)])))
-        )
+        return F.array_distinct(F.flatten(F.transform(hits, lambda h: names[fold_case(h)])))

@@ -10,7 +10,7 @@ from attesta.functions import text as T
 from attesta.functions import urls as U
 from attesta.operators.ordering import first_of_both, number_rows
 from attesta.registry import post_values as V
-from attesta.sources.blocks import distinct_paragraphs
+from attesta.sources.blocks import with_distinct_paragraphs
 
 MIN_PAGE_WORDS = 60
 MIN_POST_WORDS = 100
@@ -29,21 +29,20 @@ def with_text(pages: DataFrame) -> DataFrame:
     ``pages``: page_id, url, track, text, paragraphs, metadata, job (JSON), job_paragraphs.
     """
     job = lambda path: F.coalesce(F.get_json_object("job", path), F.lit(""))
+    listed = F.concat(F.coalesce("job_paragraphs", F.array().cast("array<string>")), "paragraphs")
     return (
-        pages.withColumn(
-            "paragraphs",
-            distinct_paragraphs(F.concat(F.coalesce("job_paragraphs", F.array().cast("array<string>")), "paragraphs")),
-        )
+        with_distinct_paragraphs(pages, listed, "paragraphs")
         .withColumn("body", P.first_non_empty(F.array_join("paragraphs", "\n"), F.col("text")))
         .withColumn("job_title", P.plain_text(job("$.title")))
         .withColumn("combined", P.combined_text(F.col("job_title"), F.col("body")))
+        .withColumn("folded", T.fold_case(F.col("combined")))
         .withColumn("place", P.location_from_json(F.get_json_object("job", "$.jobLocation")))
         .withColumn("employer", P.name_from_json(F.get_json_object("job", "$.hiringOrganization")))
     )
 
 
-def vocabulary_columns(text: Column) -> dict[str, Column]:
-    return {name: P.vocabulary_labels(text, name) for name in V.VOCABULARIES}
+def vocabulary_columns(text: Column, folded: Column) -> dict[str, Column]:
+    return {name: P.vocabulary_labels(text, name, folded) for name in V.VOCABULARIES}
 
 
 def fields(rows: DataFrame) -> DataFrame:
@@ -51,7 +50,8 @@ def fields(rows: DataFrame) -> DataFrame:
     text = F.col("combined")
     meta = lambda key: F.coalesce(F.col("metadata")[key], F.lit(""))
     se = F.col("track") == "SE Track"
-    picks = vocabulary_columns(text)
+    low = F.col("folded")
+    picks = vocabulary_columns(text, low)
     both = lambda a, b: F.when(se, picks[a]).otherwise(picks[b])
     return rows.select(
         "page_id", "url", "track", "combined", "paragraphs",
@@ -68,17 +68,17 @@ def fields(rows: DataFrame) -> DataFrame:
         P.work_type(text, F.get_json_object("job", "$.jobLocationType")).alias("work_type"),
         U.source_name(F.col("url")).alias("source"),
         F.substring(P.plain_text(F.coalesce(F.get_json_object("job", "$.datePosted"), F.lit(""))), 1, 10).alias("date_posted"),
-        P.experience(text).alias("years"),
-        P.qualification(text).alias("qualification"),
+        P.experience(text, low).alias("years"),
+        P.qualification(text, low).alias("qualification"),
         both("languages", "core").alias("primary_skills"),
         both("frameworks", "reporting").alias("secondary_skills"),
         both("se_tools", "da_tools").alias("tools"),
         F.when(F.when(se, P.found(text, V.SE_FLAG)).otherwise(P.found(text, V.DA_FLAG)), "Y")
         .otherwise("N")
         .alias("named_flag"),
-        P.portfolio(text).alias("portfolio"),
-        F.array_join(P.verbatim(text, V.SOFT_SKILLS), ", ").alias("soft_skills"),
-        F.array_join(P.verbatim(text, V.READINESS), ", ").alias("readiness_signals"),
+        P.portfolio(text, low).alias("portfolio"),
+        F.array_join(P.verbatim(text, V.SOFT_SKILLS, low), ", ").alias("soft_skills"),
+        F.array_join(P.verbatim(text, V.READINESS, low), ", ").alias("readiness_signals"),
     )
 
 
@@ -127,8 +127,10 @@ def warnings() -> Column:
 def extract_posts(pages: DataFrame, date_collected: Column) -> DataFrame:
     """One record of 21 columns per page, plus its list of warnings. No shuffle."""
     rows = fields(with_text(pages))
-    skills = F.concat("primary_skills", "secondary_skills", "tools")
-    keyed = rows.withColumn("key_requirements", P.key_requirements(F.col("paragraphs"), skills))
+    keys = P.label_keys(F.concat("primary_skills", "secondary_skills", "tools"))
+    keyed = rows.withColumn("_keys", keys).withColumn(
+        "key_requirements", P.key_requirements(F.col("paragraphs"), F.col("_keys"))
+    )
     noted = keyed.withColumn("warnings", warnings())
     listed = lambda c: F.array_join(c, ", ")
     return noted.select(

@@ -28,8 +28,22 @@ def local_session(cores: str = "8", app: str = "attesta", memory: str = "12g") -
     )
 
 
+# Tables whose rows are long texts: scanning them is bound by the CPU, not by reading.
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out to all cores when the input has fewer splits than there are cores.
+
+    Large inputs have more splits than cores, so for them this changes nothing and costs nothing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    table = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(table) if name in TEXT_TABLES else table
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -55,11 +55,20 @@ def manual_paragraphs(text: Column) -> Column:
     return F.when(F.size(parts) > 0, parts).otherwise(F.array(T.collapse_spaces(text)))
 
 
-def distinct_paragraphs(paragraphs: Column) -> Column:
-    """Paragraphs in order, later copies (ignoring case) left out."""
-    clean = F.filter(F.transform(paragraphs, T.collapse_spaces), lambda p: p != "")
-    folded = F.transform(clean, T.fold_case)
-    return F.filter(clean, lambda p, i: F.array_position(folded, T.fold_case(p)) == i + 1)
+def with_distinct_paragraphs(df: DataFrame, paragraphs: Column, name: str) -> DataFrame:
+    """Paragraphs in order, later copies (ignoring case) left out.
+
+    The cleaned and the folded array become columns first: inside a lambda they would be computed
+    anew for every element.
+    """
+    cleaned = df.withColumn(
+        "_clean", F.filter(F.transform(paragraphs, T.collapse_spaces), lambda p: p != "")
+    ).withColumn("_folded", F.transform("_clean", T.fold_case))
+    first = F.filter(
+        "_clean",
+        lambda p, i: F.array_position("_folded", F.get("_folded", i)) == i + 1,
+    )
+    return cleaned.withColumn(name, first).drop("_clean", "_folded")
 
 
 def without_repeats(df: DataFrame, keys: list[str], order: list[str], text: str) -> DataFrame:

@@ -481,7 +481,7 @@ def records(spark, folder):
 
     key = (spark.sparkContext.applicationId, folder)
     if key not in _RECORDS:
-        rows = posts(spark, folder).drop("combined", "body", "job_title", "place", "employer")
+        rows = posts(spark, folder).drop("combined", "folded", "body", "job_title", "place", "employer")
         _RECORDS[key] = cut(O.extract_posts(rows, F.lit("2026-01-01")))
     return _RECORDS[key]
 
