@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.functions import text as T
-from attesta.operators.ordering import earliest, rank_struct
+from attesta.operators.ordering import cut, earliest, rank_struct
 from attesta.registry import Registry, default_registry
 
 ORDER = ("source_ord", "block_ord", "sent_ord", "emit_ord")
@@ -236,7 +236,10 @@ def normalize_evidence(
     sentences: DataFrame | None = None,
 ) -> DataFrame:
     """Deduplicated, numbered skill, tool and qualification facts of every run within the limit."""
-    scanned = sentences if sentences is not None else scan_sentences(blocks, registry)
-    over = runs_over_limit(with_qualification_hits(scanned, registry))
+    # the scan is read twice, for the limit and for the facts, so it is written once
+    if sentences is None:
+        sentences = cut(with_qualification_hits(scan_sentences(blocks, registry), registry))
+    scanned = sentences
+    over = runs_over_limit(scanned)
     facts = dedup_facts(raw_technical_facts(scanned, registry))
     return number_facts(facts.join(over, "run_id", "left_anti"))

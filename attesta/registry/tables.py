@@ -150,7 +150,7 @@ class Registry:
                     (
                         f"action.v1.{criterion}.{anchor}", criterion, anchor,
                         "demonstrated" if proof else "documented", kind,
-                        template.format(label=labels[criterion], target=target), output, check,
+                        template.format(label=labels.get(criterion, criterion), target=target), output, check,
                     )
                 )
         for prefix in PREFIX:
