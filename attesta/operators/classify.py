@@ -276,8 +276,9 @@ def drop_explained_screenshots(facts: DataFrame) -> DataFrame:
 def readability(blocks: DataFrame, registry: Registry | None = None) -> DataFrame:
     """Readability level per run from headings, block count and block length of the CV."""
     rules = registry or default_registry()
+    names = [h.lower() for h in rules.cues["heading_cues"]]
     heading = F.lower(T.normalize_text(F.col("text")))
-    is_heading = heading.isin(*[h.lower() for h in rules.cues["heading_cues"]])
+    is_heading = heading.isin(*names)
     counted = (
         blocks.filter(F.col("source_type") == "cv")
         .groupBy("run_id")
@@ -285,10 +286,7 @@ def readability(blocks: DataFrame, registry: Registry | None = None) -> DataFram
             F.size(F.collect_set(F.when(is_heading, heading))).alias("headings"),
             F.count(F.lit(1)).alias("n_blocks"),
             F.max(F.length("text")).alias("longest"),
-            F.min_by(
-                F.struct("locator", T.normalize_text(F.col("text")).alias("first_text"), "source_id"),
-                "block_ord",
-            ).alias("b"),
+            F.min_by(F.struct("locator", F.col("text").alias("first_text"), "source_id"), "block_ord").alias("b"),
         )
     )
     level = (
@@ -302,7 +300,7 @@ def readability(blocks: DataFrame, registry: Registry | None = None) -> DataFram
     return counted.select(
         "run_id", "headings", "n_blocks", "longest", level.alias("level"),
         F.col("b.source_id").alias("source_id"), F.col("b.locator").alias("locator"),
-        F.col("b.first_text").alias("explicit_text"),
+        T.normalize_text(F.col("b.first_text")).alias("explicit_text"),
     )
 
 

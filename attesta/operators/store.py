@@ -30,22 +30,26 @@ def content_hash(columns: list[str]) -> Column:
     return F.sha2(canonical_json(columns), 256)
 
 
+def row_digest(columns: list[str]) -> Column:
+    """Two independent 64-bit hashes of a row's canonical JSON."""
+    text = canonical_json(columns)
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit("second"), text).alias("b"))
+
+
 def group_digest(hash_col: str = "_h") -> Column:
     """Digest of a group of rows that does not depend on their order.
 
-    Sums and a count merge in partial aggregation, so a group of any size stays one row. Two
-    64-bit sums over independent halves of a SHA-256 are compared together with the count.
+    Sums and a count merge in partial aggregation, so a group of any size stays one row per task.
     """
-    left = F.conv(F.substring(hash_col, 1, 15), 16, 10).cast("decimal(38,0)")
-    right = F.conv(F.substring(hash_col, 17, 15), 16, 10).cast("decimal(38,0)")
-    return F.concat_ws("-", F.count(F.lit(1)), F.sum(left), F.sum(right))
+    total = lambda part: F.sum(F.col(f"{hash_col}.{part}").cast("decimal(38,0)"))
+    return F.concat_ws("-", F.count(F.lit(1)), total("a"), total("b"))
 
 
 def run_digests(runs: DataFrame, sources: DataFrame, evidence: DataFrame) -> DataFrame:
     """One digest per run over its own fields, its sources and its evidence."""
     own = runs.select("run_id", content_hash(list(RUN_FIELDS)).alias("own"))
     child = lambda df, fields, name: (
-        df.select("run_id", content_hash(list(fields)).alias("_h"))
+        df.select("run_id", row_digest(list(fields)).alias("_h"))
         .groupBy("run_id")
         .agg(group_digest().alias(name))
     )

@@ -141,7 +141,7 @@ def digests(spark, folder):
         F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("n"), "l_partkey", "l_quantity"
     )
     digest = (
-        lines.select("run_id", store.content_hash(["n", "l_partkey", "l_quantity"]).alias("_h"))
+        lines.select("run_id", store.row_digest(["n", "l_partkey", "l_quantity"]).alias("_h"))
         .groupBy("run_id").agg(store.group_digest().alias("lines"))
     )
     own = runs.select("run_id", "assessment_id", store.content_hash(list(store.RUN_FIELDS)).alias("own"))
