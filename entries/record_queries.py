@@ -339,7 +339,9 @@ def h41(spark, folder):
     ts = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
     n = F.pmod("event_id", F.lit(4))
     text = F.when(n == 0, F.concat(ts, F.lit("Z"))).when(n == 1, F.concat(ts, F.lit("+02:00"))).when(n == 2, ts).otherwise(F.replace(ts, F.lit("T"), F.lit(" ")))
-    return read_table(spark, folder, "events").select("event_id", N.parse_rfc3339(text).cast("timestamp_ntz").alias("at"))
+    local = N.parse_rfc3339(text).cast("timestamp_ntz")
+    at = F.convert_timezone(F.current_timezone(), F.lit("UTC"), local)
+    return read_table(spark, folder, "events").select("event_id", at.alias("at"))
 
 
 @register("h54_usable_email", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'c' || c_custkey || '@example.com' END AS email FROM customer")
