@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import decontaminate, line_dedup, packing
+from attesta.llm import decontaminate, line_dedup, packing, simhash
 from attesta.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,11 @@ def register(name: str, sql: str | None = None):
     return keep
 
 
+@register("op3_simhash_near_duplicates")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.report(documents(spark, folder))
+
+
 @register("op5_benchmark_decontamination", decontaminate.SQL)
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.report(documents(spark, folder), table(spark, folder, "benchmark"))
