@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import decontaminate, line_dedup, packing, quality_mil, simhash
+from attesta.llm import decontaminate, language_id, line_dedup, packing, quality_mil, simhash
 from attesta.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,11 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.report(documents(spark, folder))
 
 
+@register("op8_language_id")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.report(documents(spark, folder))
+
+
 @register("op10_quality_classifier")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return quality_mil.report(documents(spark, folder), table(spark, folder, "labels"))
