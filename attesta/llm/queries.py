@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import decontaminate, language_id, line_dedup, packing, quality_mil, simhash
+from attesta.llm import decontaminate, html_extract, language_id, line_dedup, packing, quality_mil, simhash
 from attesta.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,11 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.report(documents(spark, folder))
 
 
+@register("op4_html_extraction")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, folder, "pages"))
+
+
 @register("op5_benchmark_decontamination", decontaminate.SQL)
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.report(documents(spark, folder), table(spark, folder, "benchmark"))
