@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import decontaminate, html_extract, language_id, line_dedup, packing, quality_mil, simhash
+from attesta.llm import decontaminate, html_extract, language_id, line_dedup, packing, quality_mil, simhash, span_dedup
 from attesta.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,11 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.report(documents(spark, folder))
 
 
+@register("op9_span_dedup", span_dedup.SQL)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return span_dedup.report(documents(spark, folder))
+
+
 @register("op10_quality_classifier")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return quality_mil.report(documents(spark, folder), table(spark, folder, "labels"))
