@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import decontaminate, html_extract, language_id, line_dedup, packing, quality_mil, quality_rules, simhash, span_dedup
+from attesta.llm import decontaminate, html_extract, language_id, line_dedup, packing, pii, quality_mil, quality_rules, simhash, span_dedup
 from attesta.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,11 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.report(documents(spark, folder))
 
 
+@register("op2_pii")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.report(documents(spark, folder))
+
+
 @register("op3_simhash_near_duplicates")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.report(documents(spark, folder))
