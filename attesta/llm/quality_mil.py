@@ -136,7 +136,7 @@ def training_bags(docs: DataFrame, labels: DataFrame, settings: Settings) -> tup
     total = usable.count()
     share = min(1.0, settings.max_rows / max(total, 1))
     chosen = usable.filter(F.pmod(F.xxhash64("_id", F.lit(17)), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "_label", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "_label", "text")
     words, buckets = settings.passage_words, settings.buckets
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
