@@ -301,23 +301,12 @@ def location_warning(location: Column, country: Column, text: Column) -> Column:
     )
 
 
-def plain_text(col: Column) -> Column:
-    """Text without the common entities and tags, in one line."""
-    plain = col
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        plain = F.replace(plain, F.lit(entity), F.lit(char))
-    stripped = F.when(
-        plain.contains("<") & plain.contains(">"), F.regexp_replace(plain, "<[^<>]*>", " ")
-    ).otherwise(plain)
-    return T.collapse_spaces(stripped)
-
-
 def name_from_json(value: Column) -> Column:
-    """Name of a JSON object (``name``, then ``legalName``), or the JSON text itself."""
+    """Name of a JSON object (``name``, then ``legalName``), or the JSON text itself. Fields are plain text."""
     named = F.coalesce(
         F.nullif(F.get_json_object(value, "$.name"), F.lit("")), F.get_json_object(value, "$.legalName")
     )
-    return plain_text(F.coalesce(F.when(value.startswith("{"), named).otherwise(value), F.lit("")))
+    return T.collapse_spaces(F.coalesce(F.when(value.startswith("{"), named).otherwise(value), F.lit("")))
 
 
 ADDRESS = "struct<addressLocality:string,addressRegion:string,addressCountry:string>"
@@ -335,9 +324,9 @@ def location_from_json(value: Column) -> Column:
         lambda p: F.array_join(
             F.filter(
                 F.array(
-                    plain_text(F.coalesce(p.address.addressLocality, F.lit(""))),
-                    plain_text(F.coalesce(p.address.addressRegion, F.lit(""))),
-                    plain_text(country(p.address)),
+                    T.collapse_spaces(F.coalesce(p.address.addressLocality, F.lit(""))),
+                    T.collapse_spaces(F.coalesce(p.address.addressRegion, F.lit(""))),
+                    T.collapse_spaces(country(p.address)),
                 ),
                 lambda x: x != "",
             ),

@@ -33,7 +33,7 @@ def with_text(pages: DataFrame) -> DataFrame:
     return (
         with_distinct_paragraphs(pages, listed, "paragraphs")
         .withColumn("body", P.first_non_empty(F.array_join("paragraphs", "\n"), F.col("text")))
-        .withColumn("job_title", P.plain_text(job("$.title")))
+        .withColumn("job_title", T.collapse_spaces(job("$.title")))
         .withColumn("combined", P.combined_text(F.col("job_title"), F.col("body")))
         .withColumn("folded", T.fold_case(F.col("combined")))
         .withColumn("place", P.location_from_json(F.get_json_object("job", "$.jobLocation")))
@@ -67,7 +67,7 @@ def fields(rows: DataFrame) -> DataFrame:
         F.coalesce("place.country", F.lit("")).alias("country"),
         P.work_type(text, F.get_json_object("job", "$.jobLocationType")).alias("work_type"),
         U.source_name(F.col("url")).alias("source"),
-        F.substring(P.plain_text(F.coalesce(F.get_json_object("job", "$.datePosted"), F.lit(""))), 1, 10).alias("date_posted"),
+        F.substring(T.collapse_spaces(F.coalesce(F.get_json_object("job", "$.datePosted"), F.lit(""))), 1, 10).alias("date_posted"),
         P.experience(text, low).alias("years"),
         P.qualification(text, low).alias("qualification"),
         both("languages", "core").alias("primary_skills"),

@@ -126,17 +126,12 @@ class Registry:
 
     def project_rows(self) -> list[tuple]:
         rows = []
-        for project, title, left_out in self.projects:
+        for project, title, core in self.projects:
             track = track_of(project)
-            core = [
-                c[1]
-                for c in self.criterion_rows()
-                if c[0] == track and ".alignment." not in c[1] and c[1] not in left_out
-            ]
             exclusions = rubric_values.PROJECT_EXCLUSIONS_ALL + (
                 rubric_values.PROJECT_EXCLUSIONS_EXTRA.get(project, ())
             )
-            rows.append((project, track, rubric_values.CATALOG_VERSION, title, core, list(exclusions)))
+            rows.append((project, track, rubric_values.CATALOG_VERSION, title, list(core), list(exclusions)))
         return rows
 
     def action_rows(self) -> list[tuple]:

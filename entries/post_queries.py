@@ -275,9 +275,11 @@ def h10(spark, folder):
     return lines.select("doc_id", (F.col("block_ord") + 1).alias("i"), T.named_only_text(F.col("text"), word).alias("named"))
 
 
-@register("h15_plain_text", "SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(html, '&quot;', '\"'), '&amp;', '&'), '<[^<>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM pages")
+@register("h15_plain_text", "WITH " + SQL_PAGES + """ SELECT g.page_id, 'Café – n’' || g.page_id || coalesce(chr(10) || string_agg(p, chr(10) ORDER BY n), '') AS text
+FROM pages g LEFT JOIN page_paragraphs x USING (page_id) GROUP BY g.page_id""")
 def h15(spark, folder):
-    return read_table(spark, folder, "pages").select("page_id", P.plain_text(F.col("html")).alias("text"))
+    field = F.concat(F.lit("<p>Caf&eacute; &ndash; n&#8217;"), "page_id", F.lit("</p>"), "html")
+    return read_table(spark, folder, "pages").select("page_id", H.plain_texts(field).alias("text"))
 
 
 @register("h47_word_count", "SELECT doc_id, len(list_filter(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' '), lambda w: w <> '')) AS words FROM documents")
@@ -672,9 +674,10 @@ def h53(spark, folder):
     return json_jobs(spark, folder).select("c_custkey", P.name_from_json(F.get_json_object("job", "$.hiringOrganization")).alias("name"))
 
 
-@register("a8_json_ld_finder", "SELECT c_custkey AS page_id, c_name AS title FROM customer JOIN nation ON n_nationkey = c_nationkey")
+@register("a8_json_ld_finder", "SELECT c_custkey AS page_id, c_name || ' Café –' AS title FROM customer JOIN nation ON n_nationkey = c_nationkey")
 def a8(spark, folder):
-    page = F.concat(F.lit('<html><head><script type="application/ld+json">{"@graph": [{"@type": "Thing"}, '), "job", F.lit("]}</script></head><body></body></html>"))
+    job = F.regexp_replace("job", '("title":"[^"]*)', "$1 Caf&eacute; <b>&#8211;</b>")
+    page = F.concat(F.lit('<html><head><script type="application/ld+json">{"@graph": [{"@type": "Thing"}, '), job, F.lit("]}</script></head><body></body></html>"))
     pages = json_jobs(spark, folder).select(F.col("c_custkey").alias("page_id"), F.lit("https://x.example").alias("url"), page.alias("html"))
     return H.parse_pages(pages).select("page_id", F.get_json_object("job", "$.title").alias("title"))
 
