@@ -157,44 +157,60 @@ def webhook_events(raw: DataFrame, body: str = "body") -> DataFrame:
     return raw.withColumn("event", name).withColumn("reference", reference).withColumn("answer", answer)
 
 
-def fulfil(events: DataFrame, payments: DataFrame) -> DataFrame:
+def fulfil(events: DataFrame, payments: DataFrame, assessments: DataFrame) -> DataFrame:
     """Outcome of verified success events on their payments.
 
-    ``events``: reference, transaction_id, paid_at. ``payments``: payment_id, provider_reference,
-    status, provider_transaction_id. The first event of a payment unlocks it; the same transaction
-    again changes nothing; another transaction on a paid row, or a transaction that another payment
-    already carries, is a conflict.
+    ``events``: event_id, reference, transaction_id, paid_at, amount_minor, currency. ``payments``: payment_id,
+    assessment_id, owner_user_id, product_id, billing_model, provider, provider_reference, amount_minor, currency,
+    status, provider_transaction_id. ``assessments``: assessment_id, owner_user_id, run_state (of the latest run).
+
+    In this order: no payment or no assessment is not_found; a field that differs from the product, or a
+    transaction that another payment carries, is a conflict; an assessment whose latest run is not completed is
+    not_completed. Then the first event of a payment unlocks it, the same transaction again changes nothing, and
+    another transaction on a paid row is a conflict.
     """
     keyed = payments.select(
-        F.col("provider_reference").alias("reference"), "payment_id", "status",
+        F.col("provider_reference").alias("reference"), "payment_id", "assessment_id", "owner_user_id", "product_id",
+        "billing_model", "provider", "provider_reference", "amount_minor", "currency", "status",
         F.col("provider_transaction_id").alias("stored_id"),
     )
+    known = assessments.select(
+        "assessment_id", F.col("owner_user_id").alias("assessment_owner"), "run_state", F.lit(True).alias("known")
+    )
     owner = payments.filter(F.col("provider_transaction_id").isNotNull()).select(
         F.col("provider_transaction_id").alias("transaction_id"), F.col("payment_id").alias("other_id")
     )
-    joined = (
-        events.withColumn("place", F.struct("paid_at", "event_id"))
-        .join(keyed, "reference", "left")
-        .join(owner, "transaction_id", "left")
+    verified = events.select(
+        "event_id", "reference", "transaction_id", "paid_at", F.col("reference").alias("event_reference"),
+        F.col("amount_minor").alias("event_amount"), F.col("currency").alias("event_currency"),
+        F.struct("paid_at", "event_id").alias("place"),
     )
     taken = F.col("other_id").isNotNull() & (F.col("other_id") != F.col("payment_id"))
-    open_ones = joined.filter(
-        F.col("stored_id").isNull() & F.col("other_id").isNull() & F.col("status").isin(*ACTIVE)
-    )
-    winners = first_of_both(open_ones, "place", "reference", "transaction_id").select(
-        "reference", F.col("place").alias("won_place"), F.col("transaction_id").alias("won_id")
-    )
-    status = (
-        F.when(F.col("payment_id").isNull(), "not_found")
+    early = (
+        F.when(F.col("payment_id").isNull() | F.col("known").isNull(), "not_found")
+        .when(~F.coalesce(payment_matches(), F.lit(False)), "conflict")
         .when(taken, "conflict")
+        .when(~F.col("run_state").eqNullSafe(F.lit("COMPLETED")), "not_completed")
         .when(F.col("stored_id") == F.col("transaction_id"), "idempotent")
         .when(F.col("stored_id").isNotNull() | ~F.col("status").isin(*ACTIVE), "conflict")
+    )
+    joined = (
+        verified.join(keyed, "reference", "left")
+        .join(known, "assessment_id", "left")
+        .join(owner, "transaction_id", "left")
+        .select("event_id", "reference", "transaction_id", "paid_at", "place", early.alias("early"))
+    )
+    winners = first_of_both(joined.filter(F.col("early").isNull()), "place", "reference", "transaction_id").select(
+        "reference", F.col("place").alias("won_place"), F.col("transaction_id").alias("won_id")
+    )
+    outcome = (
+        F.when(F.col("early").isNotNull(), F.col("early"))
         .when(F.col("place") == F.col("won_place"), "unlocked")
         .when(F.col("transaction_id") == F.col("won_id"), "idempotent")
         .otherwise("conflict")
     )
     return joined.join(winners, "reference", "left").select(
-        "event_id", "reference", "transaction_id", "paid_at", status.alias("outcome")
+        "event_id", "reference", "transaction_id", "paid_at", outcome.alias("outcome")
     )
 
 

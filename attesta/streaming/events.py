@@ -17,32 +17,27 @@ OUTCOME = (
 )
 
 
-def distinct_events(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Drop repeats of a delivery; state older than the watermark is released."""
-    return events.withWatermark("paid_at", delay).dropDuplicatesWithinWatermark(["event_id"])
+def unlock(events: DataFrame, payments: DataFrame, assessments: DataFrame, out: str, checkpoint: str) -> None:
+    """Apply success events to payments. Outcomes go to ``out``, one folder per batch.
 
-
-def unlock(events: DataFrame, payments: DataFrame, out: str, checkpoint: str) -> None:
-    """Apply success events to payments. Outcomes go to ``out``, one folder per batch."""
+    An event gets one outcome however often and however late it is delivered: repeats are dropped within the
+    batch and against the outcomes stored so far, never by their age.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = read_before(spark, out, batch_id, OUTCOME)
+        before = read_before(batch.sparkSession, out, batch_id, OUTCOME)
         paid = before.filter(F.col("outcome") == "unlocked").select(
             F.col("reference").alias("provider_reference"), F.col("transaction_id").alias("paid_id")
         )
         current = (
-            payments.drop("provider_transaction_id")
-            .join(paid, "provider_reference", "left")
-            .withColumnRenamed("paid_id", "provider_transaction_id")
-            .withColumn(
-                "status",
-                F.when(F.col("provider_transaction_id").isNotNull(), "SUCCEEDED").otherwise(F.col("status")),
-            )
+            payments.join(paid, "provider_reference", "left")
+            .withColumn("provider_transaction_id", F.coalesce("provider_transaction_id", "paid_id"))
+            .withColumn("status", F.when(F.col("paid_id").isNotNull(), "SUCCEEDED").otherwise(F.col("status")))
         )
-        write_batch(fulfil(batch, current).select(*names(OUTCOME)), out, batch_id)
+        fresh = batch.dropDuplicates(["event_id"]).join(before.select("event_id"), "event_id", "left_anti")
+        write_batch(fulfil(fresh, current, assessments).select(*names(OUTCOME)), out, batch_id)
 
-    run_available(distinct_events(events), handle, checkpoint)
+    run_available(events, handle, checkpoint)
 
 
 ATTEMPT = "owner long, event_id long, outcome string"
@@ -75,9 +70,6 @@ def follow_attempts(
 ) -> Iterator[pd.DataFrame]:
     """Replies to the checkouts of one owner, in time order."""
     status, updated, attempts = state.get if state.exists else ("NONE", 0, 0)
-    if state.hasTimedOut:
-        state.update(("INITIALIZATION_FAILED" if status == "INITIALIZING" else status, updated, attempts))
-        return
     changes = pd.concat(list(frames)).sort_values(["ts", "event_id"])
     replies = []
     times = changes["ts"].astype("datetime64[us]").astype("int64")
@@ -86,19 +78,15 @@ def follow_attempts(
         if reply is not None:
             replies.append((key[0], event_id, reply))
     state.update((status, updated, attempts))
-    if status == "INITIALIZING":
-        state.setTimeoutTimestamp(
-            max(updated // 1000 + STALE_SECONDS * 1000, state.getCurrentWatermarkMs() + 1)
-        )
     yield pd.DataFrame(replies, columns=["owner", "event_id", "outcome"])
 
 
-def checkout_attempts(changes: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Replies to checkouts per owner. ``changes``: owner, event_id, ts, kind."""
-    return (
-        changes.withWatermark("ts", delay)
-        .groupBy("owner")
-        .applyInPandasWithState(
-            follow_attempts, ATTEMPT, ATTEMPT_STATE, "append", GroupStateTimeout.EventTimeTimeout
-        )
+def checkout_attempts(changes: DataFrame) -> DataFrame:
+    """Replies to checkouts per owner. ``changes``: owner, event_id, ts, kind.
+
+    A stale attempt is seen when the next checkout looks at its age, so no timer and no watermark is needed and
+    a late checkout is answered as well. One owner's changes of a micro-batch meet in one call.
+    """
+    return changes.groupBy("owner").applyInPandasWithState(
+        follow_attempts, ATTEMPT, ATTEMPT_STATE, "append", GroupStateTimeout.NoTimeout
     )

@@ -278,21 +278,48 @@ def a15(spark, folder):
     return spark.read.parquet(f"{out}/table").select("event_id", "answer")
 
 
-@register("j1_exactly_once_unlock", "SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1 THEN 'unlocked' ELSE 'conflict' END AS outcome FROM events WHERE event_type = 'purchase'")
+def write_deliveries(parts, path):
+    """Write the parts one after the other, one file each: a stream reads them in this order."""
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(path)
+
+
+@register("j1_exactly_once_unlock", """WITH bought AS (SELECT event_id, user_id, ts, user_id || '-' || event_id % 3 AS tx,
+    CASE WHEN event_id % 5 = 0 THEN 2 ELSE event_id % 2 END AS delivery, event_id % 7 <> 0 AND event_id % 13 <> 0 AND user_id % 10 <> 0 AS fits, user_id % 11 <> 0 AS done
+  FROM events WHERE event_type = 'purchase' AND user_id % 9 <> 0),
+winners AS (SELECT user_id, arg_min(event_id, (delivery, ts, event_id)) AS won FROM bought WHERE fits AND done GROUP BY 1),
+missing AS (SELECT event_id FROM events WHERE event_type = 'purchase' AND user_id % 9 = 0)
+SELECT b.event_id, CASE WHEN NOT b.fits THEN 'conflict' WHEN NOT b.done THEN 'not_completed' WHEN b.event_id = w.won THEN 'unlocked' WHEN b.tx = v.tx THEN 'idempotent' ELSE 'conflict' END AS outcome
+FROM bought b LEFT JOIN winners w USING (user_id) LEFT JOIN bought v ON v.event_id = w.won
+UNION ALL SELECT event_id, 'not_found' FROM missing""")
 def j1(spark, folder):
+    """Three deliveries: every fifth event comes hours late, every fourth one twice, some with a wrong sum."""
     source, out = folder_for(spark), folder_for(spark)
     events = read_table(spark, folder, "events")
+    every = lambda n: F.pmod("event_id", F.lit(n)) == 0
     bought = events.filter(F.col("event_type") == "purchase").select(
-        "event_id", F.concat(F.lit("ref-"), "user_id").alias("reference"), F.concat(F.lit("tx-"), "event_id").alias("transaction_id"),
+        "event_id", F.concat(F.lit("ref-"), "user_id").alias("reference"),
+        F.concat(F.lit("tx-"), "user_id", F.lit("-"), F.pmod("event_id", F.lit(3))).alias("transaction_id"),
         F.col("ts").cast("timestamp").alias("paid_at"),
+        F.when(every(7), 100).otherwise(N.PRODUCT["amount_minor"]).alias("amount_minor"),
+        F.when(every(13), "USD").otherwise(N.PRODUCT["currency"]).alias("currency"),
     )
-    twice = F.when(F.pmod("event_id", F.lit(4)) == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
-    bought.withColumn("delivery", F.explode(twice)).drop("delivery").write.parquet(source)
-    payments = events.select("user_id").distinct().select(
-        F.concat(F.lit("pay-"), "user_id").alias("payment_id"), F.concat(F.lit("ref-"), "user_id").alias("provider_reference"),
-        F.lit("INITIALIZED").alias("status"), F.lit(None).cast("string").alias("provider_transaction_id"),
+    late, odd = every(5), F.pmod("event_id", F.lit(2)) == 1
+    write_deliveries([bought.filter(~late & ~odd), bought.filter(~late & odd), bought.filter(late | every(4))], source)
+    users = events.select("user_id").distinct().filter(F.pmod("user_id", F.lit(9)) != 0)
+    who = F.concat(F.lit("u-"), "user_id")
+    payments = users.select(
+        F.concat(F.lit("pay-"), "user_id").alias("payment_id"), F.col("user_id").alias("assessment_id"), who.alias("owner_user_id"),
+        *[F.lit(N.PRODUCT[c]).alias(c) for c in ("product_id", "billing_model", "provider", "amount_minor", "currency")],
+        F.concat(F.lit("ref-"), "user_id").alias("provider_reference"), F.lit("INITIALIZED").alias("status"),
+        F.lit(None).cast("string").alias("provider_transaction_id"),
     )
-    EV.unlock(spark.readStream.schema(bought.schema).parquet(source), payments, f"{out}/table", f"{out}/checkpoint")
+    assessments = users.select(
+        F.col("user_id").alias("assessment_id"), F.when(F.pmod("user_id", F.lit(10)) == 0, "other").otherwise(who).alias("owner_user_id"),
+        F.when(F.pmod("user_id", F.lit(11)) == 0, "FAILED").otherwise("COMPLETED").alias("run_state"),
+    )
+    stream = spark.readStream.schema(bought.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    EV.unlock(stream, payments, assessments, f"{out}/table", f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/table").select("event_id", "outcome")
 
 
@@ -312,15 +339,32 @@ def j2(spark, folder):
     return N.attempt_states(rows.filter(F.col("change").isNotNull()))
 
 
-@register("j3_checkout_attempts")
+@register("j3_checkout_attempts", """WITH RECURSIVE ev AS (SELECT user_id AS owner, event_id, ts,
+    CASE event_type WHEN 'click' THEN 'initialized' WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'succeeded' ELSE 'checkout' END AS kind,
+    row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END, ts, event_id) AS n FROM events),
+st AS (
+  SELECT DISTINCT owner, 0::BIGINT AS n, NULL::BIGINT AS event_id, 'NONE' AS status, TIMESTAMP '1970-01-01' AS updated, NULL::VARCHAR AS reply FROM ev
+  UNION ALL
+  SELECT owner, n, event_id,
+    CASE WHEN reply = 'created' THEN 'INITIALIZING' WHEN reply IS NOT NULL THEN status
+      WHEN status = 'INITIALIZING' AND kind = 'initialized' THEN 'INITIALIZED' WHEN status = 'INITIALIZING' AND kind = 'failed' THEN 'INITIALIZATION_FAILED'
+      WHEN status IN ('INITIALIZING', 'INITIALIZED') AND kind = 'succeeded' THEN 'SUCCEEDED' ELSE status END,
+    CASE WHEN reply = 'created' OR (reply IS NULL AND ((status = 'INITIALIZING' AND kind <> 'checkout') OR (status = 'INITIALIZED' AND kind = 'succeeded'))) THEN ts ELSE updated END,
+    reply
+  FROM (SELECT ev.*, st.status, st.updated, CASE WHEN kind <> 'checkout' THEN NULL WHEN status = 'SUCCEEDED' THEN 'already_unlocked' WHEN status = 'INITIALIZED' THEN 'existing_initialized'
+      WHEN status = 'INITIALIZING' AND ts - updated < INTERVAL 30 SECOND THEN 'initializing' ELSE 'created' END AS reply
+    FROM st JOIN ev ON ev.owner = st.owner AND ev.n = st.n + 1))
+SELECT owner, event_id, reply AS outcome FROM st WHERE reply IS NOT NULL""")
 def j3(spark, folder):
+    """Two deliveries: every tenth change comes after all others, however old it is."""
     kind = F
     for name, value in (CHANGES | {"signup": "checkout", "view": "checkout"}).items():
         kind = kind.when(F.col("event_type") == name, value)
     source, out = folder_for(spark), folder_for(spark)
     rows = read_table(spark, folder, "events").select(F.col("user_id").alias("owner"), "event_id", F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"))
-    rows.write.parquet(source)
-    stream = EV.checkout_attempts(spark.readStream.schema(rows.schema).parquet(source))
+    late = F.pmod("event_id", F.lit(10)) == 0
+    write_deliveries([rows.filter(~late), rows.filter(late)], source)
+    stream = EV.checkout_attempts(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source))
     run_available(stream, lambda df, n: write_batch(df, f"{out}/table", n), f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/table").select("owner", "event_id", "outcome")
 
