@@ -5,30 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Notes of source records.
 CV_NOTE = "Candidate-submitted CV extracted without classification or scoring."
 LINK_NOTE = "Candidate-submitted link retrieved without classification or scoring."
 
 
-def cv_source_record(document_id: Column, retrieved_at: Column, content_hash: Column, locator: Column) -> Column:
+def cv_source_record(
+    document_id: Column, retrieved_at: Column, content_hash: Column, locator: Column, extractor_version: Column
+) -> Column:
     """Source record of a CV that was read."""
     return F.struct(
         document_id.alias("source_id"), F.lit("cv").alias("source_type"),
         F.lit(True).alias("submitted_by_candidate"), F.lit("accessible").alias("access_status"),
         F.lit("attributed").alias("ownership_status"), retrieved_at.alias("retrieved_at"),
-        content_hash.alias("content_hash"), locator.alias("locator"), F.lit(CV_NOTE).alias("notes"),
+        content_hash.alias("content_hash"), extractor_version.alias("extractor_version"), locator.alias("locator"), F.lit(CV_NOTE).alias("notes"),
     )
 
 
 def link_source_record(
     link_id: Column, declared_type: Column, submitted_url: Column, retrieved_at: Column,
-    access_status: Column, content_hash: Column,
+    access_status: Column, content_hash: Column, extractor_version: Column,
 ) -> Column:
     """Source record of a submitted link; who owns it is never known."""
     return F.struct(
         F.concat(F.lit("src-"), link_id).alias("source_id"), declared_type.alias("source_type"),
         F.lit(True).alias("submitted_by_candidate"), access_status.alias("access_status"),
         F.lit("unclear").alias("ownership_status"), retrieved_at.alias("retrieved_at"),
-        content_hash.alias("content_hash"), submitted_url.alias("locator"), F.lit(LINK_NOTE).alias("notes"),
+        content_hash.alias("content_hash"), extractor_version.alias("extractor_version"), submitted_url.alias("locator"), F.lit(LINK_NOTE).alias("notes"),
     )
 
 

@@ -9,16 +9,22 @@ from attesta.functions.urls import normalize_submitted_url
 
 SOURCE_FIELDS = (
     "source_id", "source_type", "submitted_by_candidate", "access_status", "ownership_status",
-    "content_hash", "locator",
+    "retrieved_at", "content_hash", "extractor_version", "locator", "notes",
 )
 EVIDENCE_FIELDS = (
     "evidence_id", "source_id", "locator", "fact_type", "subject", "explicit_text",
-    "evidence_level", "attribution_status", "rule_id",
+    "evidence_level", "attribution_status", "rule_id", "review_status",
 )
 RUN_FIELDS = (
     "assessment_id", "state", "error_code", "pipeline_version", "contract_version",
-    "rubric_version", "track", "result",
+    "rubric_version", "track", "assessment_input", "scoring_context", "result", "review_flags", "stages",
 )
+DOCUMENT_FIELDS = ("document_id", "storage_path", "original_filename", "media_type", "sha256", "byte_size")
+
+
+def with_fields(df: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """``run_id`` and the fields; one that the table does not have is null."""
+    return df.select("run_id", *[F.col(f) if f in df.columns else F.lit(None).cast("string").alias(f) for f in fields])
 
 
 def canonical_json(columns: list[str]) -> Column:
@@ -46,10 +52,10 @@ def group_digest(hash_col: str = "_h") -> Column:
 
 
 def run_digests(runs: DataFrame, sources: DataFrame, evidence: DataFrame) -> DataFrame:
-    """One digest per run over its own fields, its sources and its evidence."""
-    own = runs.select("run_id", content_hash(list(RUN_FIELDS)).alias("own"))
+    """One digest per run over all fields that make two runs equal: its own, its sources' and its evidence's."""
+    own = with_fields(runs, RUN_FIELDS).select("run_id", content_hash(list(RUN_FIELDS)).alias("own"))
     child = lambda df, fields, name: (
-        df.select("run_id", row_digest(list(fields)).alias("_h"))
+        with_fields(df, fields).select("run_id", row_digest(list(fields)).alias("_h"))
         .groupBy("run_id")
         .agg(group_digest().alias(name))
     )
@@ -63,35 +69,49 @@ def run_digests(runs: DataFrame, sources: DataFrame, evidence: DataFrame) -> Dat
     )
 
 
-def merge_runs(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """Outcome of writing runs: inserted, noop for an identical replay, conflict otherwise.
+def document_hash(documents: DataFrame) -> DataFrame:
+    """(run_id, document_hash) over all fields of a run's document."""
+    return with_fields(documents, DOCUMENT_FIELDS).select("run_id", content_hash(list(DOCUMENT_FIELDS)).alias("document_hash"))
+
+
+def merge_runs(incoming: DataFrame, existing: DataFrame, order: str = "run_id") -> DataFrame:
+    """Outcome of writing runs one after the other: inserted, noop for an identical replay, conflict otherwise.
 
-    Both sides: run_id, assessment_id, candidate_ref, track, document_hash, digest. An incoming
-    run also conflicts with an assessment stored for another candidate, track or document.
+    Both sides: run_id, assessment_id, candidate_ref, track, document_hash, digest; ``order`` gives the sequence of
+    the incoming rows. An assessment belongs to the candidate, track and document of its first run, stored or incoming;
+    a run that differs from them is a conflict. A run written again has to be equal to the first one.
+
+    The first row of an assessment and of a run come from aggregations, so neither a frequent assessment nor a run
+    that is replayed very often meets in one task.
     """
-    before = existing.select(
-        "run_id", F.col("assessment_id").alias("old_assessment"), F.col("digest").alias("old_digest")
+    belongs = F.struct("candidate_ref", "track", "document_hash")
+    stored = existing.select(
+        "run_id", F.col("assessment_id").alias("old_assessment"), F.col("digest").alias("old_digest"), F.lit(True).alias("is_stored")
+    )
+    known = existing.groupBy("assessment_id").agg(F.min_by(belongs, "run_id").alias("known"))
+    rows = incoming.join(stored, "run_id", "left").join(known, "assessment_id", "left")
+    unseen = rows.filter("is_stored IS NULL")
+    begins = unseen.groupBy("run_id").agg(F.min(order).alias("begin"))
+    opened = (
+        unseen.filter("known IS NULL").join(begins, "run_id").filter(F.col(order) == F.col("begin"))
+        .groupBy("assessment_id").agg(F.min_by(belongs, order).alias("opened"))
     )
-    known = existing.groupBy("assessment_id").agg(
-        F.first("candidate_ref").alias("old_ref"), F.first("track").alias("old_track"),
-        F.first("document_hash").alias("old_document"),
+    judged = rows.join(opened, "assessment_id", "left").withColumn(
+        "fits", F.coalesce("known", "opened").eqNullSafe(belongs)
     )
-    joined = incoming.join(before, "run_id", "left").join(known, "assessment_id", "left")
-    compatible = F.col("old_ref").isNull() | (
-        F.col("old_ref").eqNullSafe(F.col("candidate_ref"))
-        & F.col("old_track").eqNullSafe(F.col("track"))
-        & F.col("old_document").eqNullSafe(F.col("document_hash"))
+    place = F.struct(F.col(order).alias("at"), F.col("assessment_id"), F.col("digest"))
+    written = judged.filter("is_stored IS NULL AND fits").groupBy("run_id").agg(F.min(place).alias("written"))
+    same = lambda assessment, digest: (
+        (F.col(assessment) == F.col("assessment_id")) & F.col(digest).eqNullSafe(F.col("digest"))
     )
     status = (
-        F.when(~compatible, "conflict")
-        .when(F.col("old_digest").isNull(), "inserted")
-        .when(
-            (F.col("old_assessment") == F.col("assessment_id")) & (F.col("old_digest") == F.col("digest")),
-            "noop",
-        )
+        F.when(~F.col("fits"), "conflict")
+        .when(F.col("is_stored"), F.when(same("old_assessment", "old_digest"), "noop").otherwise("conflict"))
+        .when(F.col("written.at") == F.col(order), "inserted")
+        .when(same("written.assessment_id", "written.digest"), "noop")
         .otherwise("conflict")
     )
-    return joined.select(*incoming.columns, status.alias("status"))
+    return judged.join(written, "run_id", "left").select(*incoming.columns, status.alias("status"))
 
 
 def latest_runs(runs: DataFrame) -> DataFrame:
@@ -112,10 +132,12 @@ def run_tree(facts: DataFrame, sources: DataFrame, outcomes: DataFrame, runs: Da
     head = runs.join(outcomes, "run_id")
     return {
         "assessments": runs.select("run_id", "track"),
-        "documents": runs.select("run_id", F.concat(F.lit("doc-"), "run_id").alias("document_id"), F.col("cv_hash").alias("sha256")),
-        "runs": head.select("run_id", "track", "state", "error_code", "final_score", "band"),
-        "sources": sources.select("run_id", *SOURCE_FIELDS),
-        "evidence": facts.select("run_id", *EVIDENCE_FIELDS),
+        "documents": with_fields(
+            runs.withColumns({"document_id": F.concat(F.lit("doc-"), "run_id"), "sha256": F.col("cv_hash")}), DOCUMENT_FIELDS
+        ),
+        "runs": with_fields(head, ("assessment_id", *RUN_FIELDS[1:], "final_score", "band")),
+        "sources": with_fields(sources, SOURCE_FIELDS),
+        "evidence": with_fields(facts, EVIDENCE_FIELDS),
     }
 
 

@@ -123,67 +123,83 @@ def b15(spark, folder):
 
 @register("j7_claim_stream", f"WITH {SQL_CLAIMS} SELECT claim_id, status FROM decided")
 def j7(spark, folder):
+    """Two deliveries, split by the time of the claim."""
     made, owned = claims(spark, folder)
     source, out = folder_for(spark), folder_for(spark)
-    made.write.parquet(source)
-    stream = spark.readStream.schema(made.schema).parquet(source)
+    early = F.col("claimed_at") < F.lit("1996-06-01").cast("timestamp")
+    write_deliveries([made.filter(early), made.filter(~early)], source)
+    stream = spark.readStream.schema(made.schema).option("maxFilesPerTrigger", 1).parquet(source)
     batches.claim_runs(stream, owned, f"{out}/table", f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/table").select("claim_id", "status")
 
 
-def digests(spark, folder):
-    """Digests of orders as runs, with their lines as evidence."""
+def digests(spark, folder, changed=False):
+    """Digests of orders as runs with one source each and their lines as evidence, as they are or changed by key."""
+    every = lambda col, n: F.lit(changed) & (F.pmod(col, F.lit(n)) == 0)
     runs = order_runs(spark, folder).select(
         "run_id", "assessment_id", "state", "error_code", F.lit("1").alias("pipeline_version"), F.lit("1.2.0").alias("contract_version"),
-        F.lit("V2").alias("rubric_version"), F.lit(SE).alias("track"), "result",
+        F.lit("V2").alias("rubric_version"), F.lit(SE).alias("track"), F.lit("{}").alias("assessment_input"), F.col("context").alias("scoring_context"),
+        "result", F.when(every("run_id", 13), "[1]").otherwise("[]").alias("review_flags"), F.lit("[]").alias("stages"),
     )
-    lines = read_table(spark, folder, "lineitem").select(
-        F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("n"), "l_partkey", "l_quantity"
+    sources = runs.select(
+        "run_id", F.lit("cv").alias("source_type"), F.when(every("run_id", 5), "changed").otherwise("note").alias("notes"),
+        F.when(every("run_id", 17), "2").otherwise("1").alias("extractor_version"),
     )
-    digest = (
-        lines.select("run_id", store.row_digest(["n", "l_partkey", "l_quantity"]).alias("_h"))
-        .groupBy("run_id").agg(store.group_digest().alias("lines"))
+    lines = read_table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("evidence_id"), F.col("l_partkey").alias("subject"),
+        F.when(every("l_orderkey", 7) & (F.col("l_linenumber") == 1), "OPEN").otherwise("DONE").alias("review_status"),
     )
-    own = runs.select("run_id", "assessment_id", store.content_hash(list(store.RUN_FIELDS)).alias("own"))
-    joined = own.join(digest, "run_id", "left")
-    return joined.select("run_id", "assessment_id", F.concat_ws("|", "own", F.coalesce("lines", F.lit("none"))).alias("digest"))
+    return runs.select("run_id", "assessment_id").join(store.run_digests(runs, sources, lines), "run_id")
 
 
-SQL_MERGE = "SELECT o_orderkey AS run_id, CASE WHEN o_custkey % 11 = 3 AND EXISTS (SELECT 1 FROM orders x WHERE x.o_custkey = o.o_custkey AND x.o_orderstatus = 'F') THEN 'conflict' WHEN o_orderstatus <> 'F' THEN 'inserted' WHEN o_orderkey % 5 = 0 THEN 'conflict' ELSE 'noop' END AS status FROM orders o"
+@register("g7_run_equivalence", """SELECT o_orderkey AS run_id, NOT (o_orderkey % 5 = 0 OR o_orderkey % 13 = 0 OR o_orderkey % 17 = 0
+  OR (o_orderkey % 7 = 0 AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1))) AS equal FROM orders""")
+def g7(spark, folder):
+    then = digests(spark, folder, changed=True).select("run_id", F.col("digest").alias("other"))
+    return digests(spark, folder).join(then, "run_id").select("run_id", (F.col("digest") == F.col("other")).alias("equal"))
 
 
-@register("g7_run_equivalence", SQL_MERGE)
-@register("l10_run_store_merge", SQL_MERGE)
+@register("l10_run_store_merge", """WITH o AS (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN 'x' ELSE 'c' END AS ref, CASE WHEN o_orderkey % 19 = 0 THEN 2 ELSE 1 END AS bytes FROM orders),
+known AS (SELECT o_custkey, CASE WHEN bool_or(o_orderstatus = 'F') THEN 'c' ELSE arg_min(ref, o_orderkey) END AS ref,
+  CASE WHEN bool_or(o_orderstatus = 'F') THEN 1 ELSE arg_min(bytes, o_orderkey) END AS bytes FROM o GROUP BY 1)
+SELECT o_orderkey AS run_id, CASE WHEN o.ref <> k.ref OR o.bytes <> k.bytes THEN 'conflict' WHEN o_orderstatus <> 'F' THEN 'inserted' WHEN o_orderkey % 5 = 0 THEN 'conflict' ELSE 'noop' END AS status
+FROM o JOIN known k USING (o_custkey)""")
 def l10(spark, folder):
+    """Completed runs are stored; all come in, some changed, some for another candidate or with another document."""
     base_rows = digests(spark, folder)
     finished = order_runs(spark, folder).filter(F.col("state") == "COMPLETED").select("run_id")
-    described = lambda df, ref: df.select(
-        "run_id", "assessment_id", ref.alias("candidate_ref"), F.lit(SE).alias("track"), F.lit("h").alias("document_hash"), "digest"
-    )
-    existing = described(base_rows.join(finished, "run_id", "left_semi"), F.lit("c"))
+
+    def described(df, ref, size):
+        files = df.select("run_id", F.lit("cv").alias("document_id"), size.alias("byte_size"))
+        return df.join(store.document_hash(files), "run_id").select(
+            "run_id", "assessment_id", ref.alias("candidate_ref"), F.lit(SE).alias("track"), "document_hash", "digest"
+        )
+
+    existing = described(base_rows.join(finished, "run_id", "left_semi"), F.lit("c"), F.lit(1))
     changed = base_rows.withColumn(
         "digest", F.when(F.pmod("run_id", F.lit(5)) == 0, F.concat("digest", F.lit("x"))).otherwise(F.col("digest"))
     )
-    ref = F.when(F.pmod("assessment_id", F.lit(11)) == 3, "other").otherwise("c")
-    return store.merge_runs(described(changed, ref), existing).select("run_id", "status")
+    ref = F.when(F.pmod("run_id", F.lit(3)) == 0, "x").otherwise("c")
+    size = F.when(F.pmod("run_id", F.lit(19)) == 0, 2).otherwise(1)
+    return store.merge_runs(described(changed, ref, size), existing).select("run_id", "status")
 
 
-@register("j6_run_stream", "SELECT o_orderkey AS run_id, n AS seq, CASE WHEN n = 1 THEN 'inserted' WHEN o_orderkey % 5 = 0 THEN 'conflict' ELSE 'noop' END AS status FROM orders, (VALUES (1), (2)) v(n)")
+@register("j6_run_stream", """SELECT o_orderkey AS run_id, n AS seq, CASE WHEN o_orderkey % 5 = 0 AND n = 3 THEN 'conflict' WHEN n = 1 THEN 'inserted' ELSE 'noop' END AS status
+FROM orders, (VALUES (1), (2), (3)) v(n)""")
 def j6(spark, folder):
+    """Two deliveries: every run twice in the first one, and once more, some changed, in the second."""
     rows = read_table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("assessment_id"), F.lit("c").alias("candidate_ref"),
-        F.lit(SE).alias("track"), F.lit("h").alias("document_hash"), F.explode(F.array(F.lit(1), F.lit(2))).alias("seq"),
+        F.lit(SE).alias("track"), F.lit("h").alias("document_hash"), F.explode(F.array(*[F.lit(n).cast("long") for n in (1, 2, 3)])).alias("seq"),
         F.sha2(F.col("o_orderpriority"), 256).alias("digest"),
     )
-    changed = (F.col("seq") == 2) & (F.pmod("run_id", F.lit(5)) == 0)
+    changed = (F.col("seq") == 3) & (F.pmod("run_id", F.lit(5)) == 0)
     rows = rows.withColumn("digest", F.when(changed, F.lit("x")).otherwise(F.col("digest")))
     source, out = folder_for(spark), folder_for(spark)
-    rows.write.parquet(source)
-    stream = spark.readStream.schema(rows.schema).parquet(source)
+    write_deliveries([rows.filter("seq < 3"), rows.filter("seq = 3")], source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
     batches.append_runs(stream, f"{out}/table", f"{out}/checkpoint")
-    return spark.read.parquet(f"{out}/table").select(
-        "run_id", F.when(F.col("status") == "inserted", 1).otherwise(2).alias("seq"), "status"
-    )
+    return spark.read.parquet(f"{out}/table").select("run_id", "seq", "status")
 
 
 def _tree(spark, folder):
@@ -238,21 +254,22 @@ def c24(spark, folder):
     return S.source_differences(left, right, ["run_id", "source_id", "source_type", "locator"]).select("run_id", "source_id", "side")
 
 
-@register("h49_cv_source_record", "SELECT 'doc-' || doc_id AS source_id, 'cv' AS source_type, 'accessible' AS access_status, 'attributed' AS ownership_status, sha256(text) AS content_hash FROM documents")
+@register("h49_cv_source_record", "SELECT 'doc-' || doc_id AS source_id, 'cv' AS source_type, 'accessible' AS access_status, 'attributed' AS ownership_status, sha256(text) AS content_hash, 'cv-1' AS extractor_version, '2026-01-01T00:00:00Z' AS retrieved_at, 'page 1' AS locator FROM documents")
 def h49(spark, folder):
     rows = read_table(spark, folder, "documents")
-    record = S.cv_source_record(F.concat(F.lit("doc-"), "doc_id"), F.lit("2026-01-01T00:00:00Z"), F.sha2("text", 256), F.lit("page 1"))
-    return rows.select(record.alias("r")).select("r.source_id", "r.source_type", "r.access_status", "r.ownership_status", "r.content_hash")
+    record = S.cv_source_record(F.concat(F.lit("doc-"), "doc_id"), F.lit("2026-01-01T00:00:00Z"), F.sha2("text", 256), F.lit("page 1"), F.lit("cv-1"))
+    return rows.select(record.alias("r")).select("r.source_id", "r.source_type", "r.access_status", "r.ownership_status", "r.content_hash", "r.extractor_version", "r.retrieved_at", "r.locator")
 
 
-@register("h50_link_source_record", "SELECT 'src-link-' || page_id AS source_id, 'project' AS source_type, 'unclear' AS ownership_status, url AS locator FROM pages")
-@register("k1_link_retrievals", "SELECT 'src-link-' || page_id AS source_id, 'project' AS source_type, 'unclear' AS ownership_status, url AS locator FROM pages")
+@register("h50_link_source_record", "SELECT 'src-link-' || page_id AS source_id, 'project' AS source_type, 'unclear' AS ownership_status, url AS locator, 'link-1' AS extractor_version FROM pages")
+@register("k1_link_retrievals", "SELECT 'src-link-' || page_id AS source_id, 'project' AS source_type, 'unclear' AS ownership_status, url AS locator, 'link-1' AS extractor_version FROM pages")
 def h50(spark, folder):
     rows = read_table(spark, folder, "pages")
     record = S.link_source_record(
-        F.concat(F.lit("link-"), "page_id"), F.lit("project"), F.col("url"), F.lit("2026-01-01T00:00:00Z"), F.lit("accessible"), F.sha2("html", 256)
+        F.concat(F.lit("link-"), "page_id"), F.lit("project"), F.col("url"), F.lit("2026-01-01T00:00:00Z"), F.lit("accessible"), F.sha2("html", 256),
+        F.lit("link-1"),
     )
-    return rows.select(record.alias("r")).select("r.source_id", "r.source_type", "r.ownership_status", "r.locator")
+    return rows.select(record.alias("r")).select("r.source_id", "r.source_type", "r.ownership_status", "r.locator", "r.extractor_version")
 
 
 @register("h40_canonical_json", "SELECT o_orderkey AS run_id, to_json({'o_custkey': o_custkey, 'o_orderpriority': o_orderpriority, 'o_orderstatus': o_orderstatus})::VARCHAR AS document FROM orders")
