@@ -230,7 +230,8 @@ def allocate_ids(posts: DataFrame, existing: DataFrame, order: str = "page_id",
     """Next IDs such as ``SE-001`` for new posts. Two tracks hold all rows, so numbering is split."""
     coded = posts.withColumn("code", track_code(F.col("track")))
     numbered = number_rows(coded, ["code"], [order], [F.floor(F.col(order) / width)], "n")
-    joined = numbered.join(F.broadcast(highest_ids(existing)), "code", "left")
+    codes = highest_ids(existing).filter(F.col("code").isin(*V.TRACK_CODES.values()))  # one row a track at most
+    joined = numbered.join(F.broadcast(codes), "code", "left")
     number = F.col("n") + F.coalesce("highest", F.lit(0))
     return joined.withColumn("post_id", F.concat(F.col("code"), F.lit("-"), F.lpad(number.cast("string"), F.greatest(F.lit(3), F.length(number.cast("string"))), F.lit("0")))).drop("n", "highest", "code")
 

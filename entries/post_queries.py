@@ -149,12 +149,29 @@ def a1(spark, folder):
     return rows.select("page_id", (F.col("i") + 1).alias("n"), "p")
 
 
-@register("a2_visible_blocks")
+SQL_HTML_BLOCKS = """found AS (SELECT page_id, regexp_extract_all(html, '<li><a [^>]*>[^<]*</a></li>|<h1>[^<]*</h1>|<p>[^<]*</p>') AS m FROM pages),
+raw_blocks AS (SELECT page_id, i, regexp_extract(m[i], '^<([a-z0-9]+)', 1) AS tag,
+    replace(replace(trim(regexp_replace(regexp_replace(m[i], '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')), '&quot;', '"'), '&amp;', '&') AS text
+  FROM (SELECT page_id, m, unnest(range(1, len(m) + 1)) AS i FROM found)),
+html_blocks AS (SELECT page_id, tag, text, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS block_ord, row_number() OVER (PARTITION BY page_id, tag ORDER BY i) AS n
+  FROM raw_blocks WHERE text <> '')"""
+SQL_HTML_ROWS = "SELECT page_id, block_ord, printf('blk-html-%s-%04d', tag, n) AS block_id, 'html:' || tag || ':' || n AS locator, text FROM html_blocks"
+
+
+@register("a2_visible_blocks", f"WITH {SQL_HTML_BLOCKS} {SQL_HTML_ROWS}")
 def a2(spark, folder):
     return H.html_blocks(read_table(spark, folder, "pages"))
 
 
-@register("a5_content_dispatch")
+SQL_PLAIN_BLOCKS = """plain_lines AS (SELECT doc_id, i, trim(regexp_replace(l[i], '\\s+', ' ', 'g')) AS line FROM (
+  SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))),
+plain_parts AS (SELECT *, sum(CASE WHEN line = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM plain_lines),
+plain_joined AS (SELECT doc_id, part, string_agg(line, ' ' ORDER BY i) AS text FROM plain_parts WHERE line <> '' GROUP BY 1, 2),
+plain_blocks AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY part) AS n FROM plain_joined)"""
+
+
+@register("a5_content_dispatch", f"""WITH {SQL_HTML_BLOCKS}, {SQL_PLAIN_BLOCKS} {SQL_HTML_ROWS}
+UNION ALL SELECT doc_id, n - 1, printf('blk-text-%04d', n), 'text:p:' || n, text FROM plain_blocks""")
 def a5(spark, folder):
     pages = read_table(spark, folder, "pages").select("page_id", F.lit("text/html").alias("media_type"), F.col("html").alias("body"))
     talks = read_table(spark, folder, "documents").select(
@@ -168,7 +185,7 @@ def a9(spark, folder):
     return H.metadata_columns(parsed(spark, folder)).select("page_id", "url", "h1")
 
 
-@register("e4_tag_ordinal")
+@register("e4_tag_ordinal", f"WITH {SQL_HTML_BLOCKS} SELECT page_id, tag, block_ord, n, 'html:' || tag || ':' || n AS locator FROM html_blocks")
 def e4(spark, folder):
     from pyspark.sql import Window
 
@@ -573,7 +590,13 @@ def c22(spark, folder):
     return O.new_posts(fresh, saved).select("page_id")
 
 
-@register("j5_batch_first_posts")
+@register("j5_batch_first_posts", record_sql("""SELECT track, page_id, url_key FROM st WHERE kept""", SQL_KEYS, """ord AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY track ORDER BY page_id) AS n FROM keys)""",
+"""st AS (
+  SELECT DISTINCT track, 0::BIGINT AS n, []::VARCHAR[] AS urls, []::VARCHAR[] AS signs, NULL::BIGINT AS page_id, NULL::VARCHAR AS url_key, FALSE AS kept FROM ord
+  UNION ALL
+  SELECT track, n, CASE WHEN fresh THEN list_append(urls, url_key) ELSE urls END, CASE WHEN fresh AND signature IS NOT NULL THEN list_append(signs, signature) ELSE signs END, page_id, url_key, fresh
+  FROM (SELECT ord.*, st.urls, st.signs, NOT list_contains(st.urls, ord.url_key) AND (signature IS NULL OR NOT list_contains(st.signs, signature)) AS fresh
+    FROM st JOIN ord ON ord.track = st.track AND ord.n = st.n + 1))""").replace("WITH", "WITH RECURSIVE", 1))
 def first_posts(spark, folder):
     return O.first_of_each(records(spark, folder)).select("track", "page_id", "url_key")
 
@@ -634,14 +657,14 @@ def a11(spark, folder):
     return spark.read.parquet(path).select("page_id", "cell")
 
 
-@register("a12_export_snapshot", record_sql("SELECT page_id::VARCHAR AS page_id, title FROM record WHERE title <> ''"))
+@register("a12_export_snapshot", record_sql("SELECT page_id::VARCHAR AS page_id, title FROM record"))
 def a12(spark, folder):
     from attesta.session import shared_folder
     import uuid
 
     path = f"{shared_folder(spark)}/attesta/{uuid.uuid4().hex}"
-    O.export_collection(records(spark, folder).filter(F.col("title") != "").select("page_id", "title"), path)
-    return spark.read.option("header", True).csv(path)
+    O.export_collection(records(spark, folder).select("page_id", "title"), path)
+    return spark.read.option("header", True).csv(path).select("page_id", F.coalesce("title", F.lit("")).alias("title"))
 
 
 # JSON-LD ------------------------------------------------------------------------------------------
