@@ -2,9 +2,10 @@
 
 Every task tokenises its documents and places each piece at once: online best fit. The open bins
 hang on a bitset keyed by their free space, so the best bin for a piece of length L is the lowest
-set bit at or above L. When a new bin is needed and all are open, the fullest one closes. Nothing
-is shuffled; a task holds its open bins and one Arrow batch, and a repeated task makes the same
-rows, since a scan split always gives the same rows in the same order.
+set bit at or above L. When a new bin is needed and all are open, the fullest one closes. The pieces of
+a few hundred documents at a time arrive longest first, which leaves less free space. Nothing is
+shuffled; a task holds its open bins and one Arrow batch, and a repeated task makes the same rows, since
+a scan split always gives the same rows in the same order.
 
 Defined results: a null text counts as empty (one piece with the end token alone); a null
 ``doc_id`` and repeated rows are packed like any others; an empty table gives no rows; further
@@ -100,13 +101,13 @@ def cuts(total: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str, capacity: int = 1024, open_bins: int = 512, end_id: int = 2,
-    id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, tokenizer: str, capacity: int = 1024, open_bins: int = 2048, end_id: int = 2,
+    group: int = 1000, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Place every document's pieces.
 
     ``tokenizer`` is the path of a tokenizer file that all executors can read. ``open_bins`` bounds
-    memory and the waste at the end of a task, not which rows are packed.
+    memory, not which rows are packed; ``group`` documents arrive together.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     schema = docs.sparkSession.createDataFrame([], PIECES.format(id=kind)).schema
@@ -118,23 +119,20 @@ def pack_documents(
         names = schema.names
         end = np.array([end_id], dtype="<u4")
         for batch in batches:
-            ids = batch.column(0)
-            rows: list[list] = [[] for _ in names[1:]]
-            places: list[int] = []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                tokens = np.append(encode(text or "").astype("<u4"), end)
-                for piece, (start, length) in enumerate(cuts(len(tokens), capacity)):
-                    number, offset = bins.place(length)
-                    check = zlib.crc32(tokens[start : start + length].tobytes())
-                    places.append(i)
-                    for column, value in zip(
-                        rows, (piece, start, length, check, base + number, offset)
-                    ):
-                        column.append(value)
-            arrays = [ids.take(pa.array(places, pa.int64()))]
-            arrays += [
-                pa.array(c, pa.int32() if n == "piece" else pa.int64()) for n, c in zip(names[1:], rows)
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            for at in range(0, batch.num_rows, group):
+                part = batch.slice(at, group)
+                pieces: list[tuple] = []
+                for i, text in enumerate(part.column(1).to_pylist()):
+                    tokens = np.append(encode(text or "").astype("<u4"), end)
+                    for piece, (start, length) in enumerate(cuts(len(tokens), capacity)):
+                        pieces.append((i, piece, start, length, zlib.crc32(tokens[start : start + length].tobytes())))
+                pieces.sort(key=lambda p: -p[3])
+                places = [bins.place(p[3]) for p in pieces]
+                i, *columns = zip(*pieces)
+                columns += [[base + number for number, _ in places], [offset for _, offset in places]]
+                kinds = [pa.int32(), *[pa.int64()] * 5]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(i, pa.int64())), *map(pa.array, columns, kinds)], names=names
+                )
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
