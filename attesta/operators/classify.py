@@ -240,20 +240,32 @@ def process_facts(
     return _typed(rules, emitted.select("*", "e.*").drop("e"))
 
 
-def submitted_work_facts(blocks: DataFrame, registry: Registry | None = None) -> DataFrame:
-    """One fact per readable project link, quoting its first block."""
-    rules = registry or default_registry()
-    first = (
-        blocks.filter(
-            (F.col("source_type") != "cv") & F.col("accessible") & is_project_source(rules)
-        )
-        .groupBy("run_id", "source_id", "source_ord", "source_type", "ownership_status")
-        .agg(F.min_by(F.struct("locator", T.quote_text(F.col("text")).alias("q")), "block_ord").alias("b"))
+def source_summary(blocks: DataFrame, registry: Registry | None = None) -> DataFrame:
+    """One row per source: its headings, number of blocks, longest block and first block.
+
+    The only reading of block texts besides the sentence scan; everything else about blocks comes from here.
+    """
+    names = [h.lower() for h in (registry or default_registry()).cues["heading_cues"]]
+    # a heading is short, so long texts are not normalised for the comparison
+    short = F.length("text") <= 2 * max(map(len, names))
+    heading = F.when(short, F.lower(T.normalize_text(F.col("text"))))
+    return blocks.groupBy("run_id", "source_id", "source_ord", "source_type", "ownership_status", "accessible").agg(
+        F.collect_set(F.when(heading.isin(*names), heading)).alias("heads"),
+        F.count(F.lit(1)).alias("n_blocks"),
+        F.max(F.length("text")).alias("longest"),
+        F.min_by(F.struct("block_ord", "locator", F.col("text").alias("first_text")), "block_ord").alias("first"),
     )
-    emitted = first.select(
+
+
+def submitted_work_facts(summary: DataFrame, registry: Registry | None = None) -> DataFrame:
+    """One fact per readable project link, quoting its first block. ``summary``: see ``source_summary``."""
+    rules = registry or default_registry()
+    emitted = summary.filter(
+        (F.col("source_type") != "cv") & F.col("accessible") & is_project_source(rules)
+    ).select(
         "run_id", "source_id", "source_ord", "source_type", "ownership_status",
         F.lit(-1).alias("block_ord"), F.lit(0).alias("sent_ord"), F.lit(0).alias("emit_ord"),
-        F.col("b.locator").alias("locator"), F.col("b.q").alias("explicit_text"),
+        F.col("first.locator").alias("locator"), T.quote_text(F.col("first.first_text")).alias("explicit_text"),
         F.lit("accessible_submitted_work").alias("subject"),
         F.lit(None).cast("string").alias("own_level"),
     )
@@ -273,20 +285,19 @@ def drop_explained_screenshots(facts: DataFrame) -> DataFrame:
     return facts.filter(~shot).unionByName(kept)
 
 
-def readability(blocks: DataFrame, registry: Registry | None = None) -> DataFrame:
-    """Readability level per run from headings, block count and block length of the CV."""
-    rules = registry or default_registry()
-    names = [h.lower() for h in rules.cues["heading_cues"]]
-    heading = F.lower(T.normalize_text(F.col("text")))
-    is_heading = heading.isin(*names)
+def readability(summary: DataFrame) -> DataFrame:
+    """Readability level per run from headings, block count and block length of the CV.
+
+    ``summary``: see ``source_summary``.
+    """
     counted = (
-        blocks.filter(F.col("source_type") == "cv")
+        summary.filter(F.col("source_type") == "cv")
         .groupBy("run_id")
         .agg(
-            F.size(F.collect_set(F.when(is_heading, heading))).alias("headings"),
-            F.count(F.lit(1)).alias("n_blocks"),
-            F.max(F.length("text")).alias("longest"),
-            F.min_by(F.struct("locator", F.col("text").alias("first_text"), "source_id"), "block_ord").alias("b"),
+            F.size(F.array_distinct(F.flatten(F.collect_list("heads")))).alias("headings"),
+            F.sum("n_blocks").alias("n_blocks"),
+            F.max("longest").alias("longest"),
+            F.min_by(F.struct("first.locator", "first.first_text", "source_id"), "first.block_ord").alias("b"),
         )
     )
     level = (
@@ -350,11 +361,11 @@ def description_evidence(cv_facts: DataFrame) -> DataFrame:
 
 
 def quality_facts(
-    blocks: DataFrame, facts: DataFrame, derived: DataFrame, registry: Registry | None = None
+    summary: DataFrame, facts: DataFrame, derived: DataFrame, registry: Registry | None = None
 ) -> DataFrame:
     """The three document-quality facts of each CV."""
     rules = registry or default_registry()
-    base = readability(blocks, rules)
+    base = readability(summary)
     cv = base.select("run_id", F.col("source_id").alias("cv_id"))
     own = lambda d: d.join(cv, "run_id").filter(F.col("source_id") == F.col("cv_id"))
     columns = ["run_id", "source_id", "locator", "fact_type", "explicit_text"]
@@ -384,7 +395,7 @@ def quality_facts(
 
 
 def derived_facts(
-    blocks: DataFrame,
+    summary: DataFrame,
     sentences: DataFrame,
     facts: DataFrame,
     registry: Registry | None = None,
@@ -392,17 +403,17 @@ def derived_facts(
 ) -> DataFrame:
     """All derived facts of every run, merged and numbered after the technical ones.
 
-    ``stage`` may write an intermediate result to the shared folder; it is read three times.
+    ``summary``: see ``source_summary``. ``stage`` may write an intermediate result to the shared folder; it is read three times.
     """
     rules = registry or default_registry()
     emitted = drop_explained_screenshots(
         stage(
             sentence_facts(sentences, rules)
             .unionByName(process_facts(sentences, facts, rules))
-            .unionByName(submitted_work_facts(blocks, rules))
+            .unionByName(submitted_work_facts(summary, rules))
         )
     )
-    quality = quality_facts(blocks, facts, emitted, rules)
+    quality = quality_facts(summary, facts, emitted, rules)
     merged = stage(dedup_facts(emitted.unionByName(quality), by_locator=True))
     numbered = number_rows(
         merged, ["run_id"], ORDER, [F.col("source_ord"), F.floor(F.col("block_ord") / 64)], "new_no"

@@ -193,8 +193,11 @@ def dedup_facts(raw: DataFrame, by_locator: bool = False) -> DataFrame:
     )
 
 
-def runs_over_limit(sentences: DataFrame) -> DataFrame:
-    """Runs with more raw facts than the limit, counted without building the facts."""
+def runs_over_limit(sentences: DataFrame, limit: int = FACT_LIMIT) -> DataFrame:
+    """Runs with more raw facts than the limit, counted without building the facts.
+
+    Such a run fails as a whole: it has no facts and the error code of ``failed_runs``.
+    """
     usable = F.when(~F.col("qualified"), F.size("hits")).when(
         F.col("source_type") == "cv",
         # only the qualification hits of such a sentence become facts
@@ -203,11 +206,16 @@ def runs_over_limit(sentences: DataFrame) -> DataFrame:
     return (
         sentences.groupBy("run_id")
         .agg(F.sum(F.coalesce(usable, F.lit(0))).alias("raw_facts"))
-        .filter(F.col("raw_facts") > FACT_LIMIT)
+        .filter(F.col("raw_facts") > limit)
         .select("run_id")
     )
 
 
+def failed_runs(sentences: DataFrame, limit: int = FACT_LIMIT) -> DataFrame:
+    """(run_id, error_code) of the runs that ``normalize_evidence`` gives no facts for."""
+    return runs_over_limit(sentences, limit).withColumn("error_code", F.lit("FACT_LIMIT_EXCEEDED"))
+
+
 def with_qualification_hits(
     sentences: DataFrame, registry: Registry | None = None
 ) -> DataFrame:
@@ -234,12 +242,16 @@ def normalize_evidence(
     blocks: DataFrame,
     registry: Registry | None = None,
     sentences: DataFrame | None = None,
+    limit: int = FACT_LIMIT,
 ) -> DataFrame:
-    """Deduplicated, numbered skill, tool and qualification facts of every run within the limit."""
+    """Deduplicated, numbered skill, tool and qualification facts of every run within the limit.
+
+    The runs beyond it are in ``failed_runs``.
+    """
     # the scan is read twice, for the limit and for the facts, so it is written once
     if sentences is None:
         sentences = cut(with_qualification_hits(scan_sentences(blocks, registry), registry))
     scanned = sentences
-    over = runs_over_limit(scanned)
+    over = runs_over_limit(scanned, limit)
     facts = dedup_facts(raw_technical_facts(scanned, registry))
     return number_facts(facts.join(over, "run_id", "left_anti"))

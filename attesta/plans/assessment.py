@@ -47,8 +47,9 @@ def assess(
     over = evidence.runs_over_limit(sentences)
     technical = stage(evidence.normalize_evidence(blocks, rules, sentences))
     allowed = sentences.join(over, "run_id", "left_anti")
-    open_blocks = blocks.join(over, "run_id", "left_anti")
-    derived = classify.derived_facts(open_blocks, allowed, technical, rules, stage)
+    # one row a source: the limit is applied to these rows and never to texts
+    summary = stage(classify.source_summary(blocks, rules)).join(over, "run_id", "left_anti")
+    derived = classify.derived_facts(summary, allowed, technical, rules, stage)
     facts = technical.unionByName(derived)
     facts = stage(facts)
     live = runs.join(over, "run_id", "left_anti")

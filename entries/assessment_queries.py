@@ -140,7 +140,7 @@ _cue_facts("i18_target_role", list(classify.TARGET.values()))
 
 @register("i3_submitted_work", sql("work", f"SELECT {FACT} FROM work_facts"))
 def i3(spark, folder):
-    return classify.submitted_work_facts(base.blocks(spark, folder)).select(*FACT_COLS)
+    return classify.submitted_work_facts(classify.source_summary(base.blocks(spark, folder))).select(*FACT_COLS)
 
 
 @register("b4_accessible_links", sql("blocks", "SELECT source_type, accessible, count(*) AS n, bool_and(source_type = 'cv' OR accessible) AS emits FROM blocks GROUP BY 1, 2"))
@@ -215,7 +215,7 @@ def _emitted(spark, folder):
     return classify.drop_explained_screenshots(
         classify.sentence_facts(st.sentences)
         .unionByName(classify.process_facts(st.sentences, tech))
-        .unionByName(classify.submitted_work_facts(base.blocks(spark, folder)))
+        .unionByName(classify.submitted_work_facts(classify.source_summary(base.blocks(spark, folder))))
     )
 
 
@@ -227,7 +227,7 @@ def c15(spark, folder):
 
 @register("d9_readability", sql("quality", "SELECT run_id, headings, n_blocks, longest FROM readability"))
 def d9(spark, folder):
-    return classify.readability(base.cv_blocks(spark, folder)).select("run_id", "headings", "n_blocks", "longest")
+    return classify.readability(classify.source_summary(base.cv_blocks(spark, folder))).select("run_id", "headings", "n_blocks", "longest")
 
 
 def _cv_only(facts):
@@ -276,7 +276,7 @@ def g1(spark, folder):
 def l3(spark, folder):
     st = staged(spark, folder)
     return classify.derived_facts(
-        base.blocks(spark, folder), st.sentences, technical(spark, folder)
+        classify.source_summary(base.blocks(spark, folder)), st.sentences, technical(spark, folder)
     ).select(*FACT_COLS, "evidence_id")
 
 

@@ -70,7 +70,7 @@ def derived(spark, texts, track=SE):
     blocks = cv(spark, texts, track=track)
     sentences = evidence.with_qualification_hits(evidence.scan_sentences(blocks))
     facts = evidence.normalize_evidence(blocks, None, sentences)
-    rows = classify.derived_facts(blocks, sentences, facts).orderBy("fact_no").collect()
+    rows = classify.derived_facts(classify.source_summary(blocks), sentences, facts).orderBy("fact_no").collect()
     return [r.subject for r in rows], rows
 
 
