@@ -142,16 +142,32 @@ def media_type(header: Column) -> Column:
     return F.nullif(F.lower(strip(F.split_part(header, F.lit(";"), F.lit(1)))), F.lit(""))
 
 
+#: Names of character sets as bodies declare them, and Spark's names.
+CHARSETS = {
+    "iso-8859-1": "ISO-8859-1", "latin-1": "ISO-8859-1", "latin1": "ISO-8859-1", "us-ascii": "US-ASCII", "ascii": "US-ASCII",
+    "utf-16": "UTF-16", "utf-16le": "UTF-16LE", "utf-16be": "UTF-16BE", "utf-32": "UTF-32",
+}
+
+
+def declared_charset(header: Column) -> Column:
+    return F.lower(F.regexp_extract(header, r'(?i)charset="?([^";\s]+)', 1))
+
+
 def decode_body(body: Column, header: Column) -> Column:
     """Body text by the declared charset where Spark knows it, else UTF-8 with replacement."""
-    charset = F.lower(F.regexp_extract(header, r'(?i)charset="?([^";\s]+)', 1))
-    known = {"iso-8859-1": "ISO-8859-1", "latin-1": "ISO-8859-1", "utf-16": "UTF-16"}
+    charset = declared_charset(header)
     chain = F
-    for name, java in known.items():
+    for name, java in CHARSETS.items():
         chain = chain.when(charset == name, F.decode(body, java))
     return chain.otherwise(F.make_valid_utf8(body.cast("string")))
 
 
+def charset_error(header: Column) -> Column:
+    """CHARSET_UNKNOWN where ``decode_body`` falls back to UTF-8 for a charset it does not know."""
+    charset = declared_charset(header)
+    return F.when(~charset.isin("", "utf-8", "utf8", *CHARSETS), "CHARSET_UNKNOWN")
+
+
 def source_name(url: Column) -> Column:
     """Job board of a URL, else the name in its host."""
     name = F.regexp_replace(host(url), r"^www\.", "")

@@ -115,6 +115,34 @@ def cap_rows(scored: DataFrame, registry: Registry | None = None) -> DataFrame:
     return label_join(category.unionByName(overall), "cap", "rule_id", "cap_label", registry)
 
 
+def project_coverage(gaps: DataFrame, registry: Registry | None = None) -> DataFrame:
+    """Gaps that each project covers, one row per run, project and criterion."""
+    rules = registry or default_registry()
+    covered = rules.table(gaps.sparkSession, "project").select(
+        "project_id", F.explode("core_criterion_ids").alias("criterion_id")
+    )
+    return gaps.select("run_id", "criterion_id", "point_gap").join(F.broadcast(covered), "criterion_id")
+
+
+def widest_coverage(coverage: DataFrame) -> DataFrame:
+    """Per run the project that covers most missing points, the first one by ID among equals."""
+    sums = coverage.groupBy("run_id", "project_id").agg(F.sum("point_gap").alias("coverage"))
+    best = F.min_by(F.struct("project_id", "coverage"), F.struct(-F.col("coverage"), "project_id"))
+    return sums.groupBy("run_id").agg(best.alias("b")).select("run_id", "b.project_id", "b.coverage")
+
+
+def project_details(projects: DataFrame, details: DataFrame) -> DataFrame:
+    """Recommended projects with what a rule document tells about them.
+
+    ``projects``: see ``project_rows``. ``details``: see ``attesta.registry.load.project_table``, a row per project.
+    A recommended project that the document does not know is an invalid rule set.
+    """
+    known = details.withColumn("known", F.lit(True))
+    joined = projects.join(F.broadcast(known), "project_id", "left")
+    status = F.when((F.col("status") == "RECOMMENDED") & F.col("known").isNull(), "REPORT_RULESET_INVALID").otherwise(F.col("status"))
+    return joined.withColumn("status", status).drop("known")
+
+
 def project_rows(scored: DataFrame, registry: Registry | None = None) -> DataFrame:
     """The recommended project with its catalogue details, or the review status."""
     rules = registry or default_registry()

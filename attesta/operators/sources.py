@@ -35,6 +35,13 @@ def link_source_record(
     )
 
 
+def numbered_links(urls: Column) -> Column:
+    """Submitted URLs of one submission, in order, with the IDs link-001, link-002 and so on."""
+    return F.transform(
+        urls, lambda u, i: F.struct(F.format_string("link-%03d", i + 1).alias("link_id"), u.alias("submitted_url"))
+    )
+
+
 def source_snapshot(sources: DataFrame) -> DataFrame:
     """Hashes of a run's CV and, in order, of its links that have one."""
     link = (F.col("source_type") != "cv") & F.col("content_hash").isNotNull()

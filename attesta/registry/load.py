@@ -45,3 +45,23 @@ def criterion_tables(document: DataFrame) -> tuple[DataFrame, DataFrame]:
         "criterion_id", F.explode(F.from_json("anchors", "map<string,int>")).alias("anchor", "points")
     )
     return criteria.drop("anchors"), anchors
+
+
+def project_table(document: DataFrame) -> DataFrame:
+    """What a project catalogue document tells about each project besides its criteria."""
+    lists = ("required_foundations", "required_outputs", "completion_checks", "optional_criterion_ids")
+    return document.select(F.explode("projects").alias("p")).select(
+        "p.project_id", "p.scenario", *[F.col(f"p.{name}").alias(name) for name in lists]
+    )
+
+
+def label_table(document: DataFrame, kinds: list[str]) -> DataFrame:
+    """Labels of a label document: for each kind an object from ID to label."""
+    parts = [
+        document.select(F.lit(kind).alias("label_kind"), F.explode(F.from_json(F.to_json(kind), "map<string,string>")).alias("id", "label"))
+        for kind in kinds
+    ]
+    merged = parts[0]
+    for part in parts[1:]:
+        merged = merged.unionByName(part)
+    return merged

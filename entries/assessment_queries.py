@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import functions as F
 
 from attesta.operators import binding, classify, evidence, qa, report, scoring
+from attesta.registry import load
 from attesta.registry.tables import DA, SE
+from attesta.session import shared_folder
 from entries import base, chain
 from entries.base import q, register, sql_in
 from entries.chain import RULES, sql, staged
@@ -494,24 +499,14 @@ def f4(spark, folder):
     return scored(spark, folder).select("run_id", "project_id")
 
 
-def _coverage(spark, folder):
-    projects = RULES.table(spark, "project").select(
-        "project_id", "track", "exclusion_conditions", F.explode("core_criterion_ids").alias("criterion_id")
-    )
-    gaps = report.gap_rows(scored(spark, folder)).select("run_id", "criterion_id", "point_gap")
-    return gaps.join(F.broadcast(projects), "criterion_id")
-
-
 @register("c13_project_coverage", sql("scores", "SELECT g.run_id, j.project_id, g.criterion_id, g.point_gap FROM gap_rows g JOIN project j ON list_contains(j.core_criterion_ids, g.criterion_id)"))
 def c13(spark, folder):
-    return _coverage(spark, folder).select("run_id", "project_id", "criterion_id", "point_gap")
+    return report.project_coverage(report.gap_rows(scored(spark, folder))).select("run_id", "project_id", "criterion_id", "point_gap")
 
 
 @register("d12_coverage_argmax", sql("scores", "SELECT run_id, project_id, coverage FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY coverage DESC, project_id) AS rn FROM (SELECT g.run_id, j.project_id, sum(g.point_gap)::BIGINT AS coverage FROM gap_rows g JOIN project j ON list_contains(j.core_criterion_ids, g.criterion_id) GROUP BY 1, 2)) WHERE rn = 1"))
 def d12(spark, folder):
-    sums = _coverage(spark, folder).groupBy("run_id", "project_id").agg(F.sum("point_gap").alias("coverage"))
-    best = F.min_by(F.struct("project_id", "coverage"), F.struct(-F.col("coverage"), "project_id"))
-    return sums.groupBy("run_id").agg(best.alias("b")).select("run_id", "b.project_id", "b.coverage")
+    return report.widest_coverage(report.project_coverage(report.gap_rows(scored(spark, folder))))
 
 
 @register("g3_exclusion_overlap", sql("context", "SELECT x.run_id, j.project_id FROM context x JOIN project j ON j.track = x.track WHERE list_has_any(exclusion_conditions, list_filter([CASE WHEN blocked THEN 'blocking_review_unresolved' END, CASE WHEN contains(flags, 'TRACK_MISMATCH') THEN 'track_mismatch' END, CASE WHEN NOT python THEN 'python_not_explicit' END, CASE WHEN x.track = 'software_engineering' AND api_missing THEN 'api_foundation_missing_unverifiable' END], lambda z: z IS NOT NULL))", chain.PROJECT))
@@ -542,10 +537,28 @@ def d23(spark, folder):
 # checks and reports -------------------------------------------------------------------------------
 
 
-@register("d13_qa_rollup", sql("scores", f"SELECT run_id, n AS check_name, TRUE AS passed FROM scored, (VALUES {', '.join('(' + q(n) + ')' for n in qa.CHECKS)}) v(n)"))
-@register("l6_quality_checks", sql("scores", f"SELECT run_id, n AS check_name, TRUE AS passed FROM scored, (VALUES {', '.join('(' + q(n) + ')' for n in qa.CHECKS)}) v(n)"))
+BROKEN = {1: "band_matches_final_score", 2: "cv_present_and_readable", 3: "every_submitted_link_has_source_record", 4: "no_secret_in_payload"}
+
+
+def broken(spark, folder):
+    """Scored runs of which most break one check, by their key."""
+    n = F.pmod("run_id", F.lit(5))
+    rows = scored(spark, folder).drop("checks", "qa_status")
+    return qa.run_checks(
+        rows.withColumn("band", F.when(n == 1, "no_band").otherwise(F.col("band")))
+        .withColumn("cv_hash", F.when(n == 2, "").when(n == 4, "Bearer abc.def").otherwise(F.col("cv_hash")))
+        .withColumn("links_ok", F.col("links_ok") & (n != 3))
+    )
+
+
+@register("d13_qa_rollup", sql("scores", "SELECT run_id, CASE WHEN run_id % 5 = 0 THEN 'PASS' ELSE 'FAIL' END AS qa_status FROM scored"))
 def d13(spark, folder):
-    return scored(spark, folder).select("run_id", F.explode("checks").alias("c")).select(
+    return broken(spark, folder).select("run_id", "qa_status")
+
+
+@register("l6_quality_checks", sql("scores", f"SELECT run_id, n AS check_name, NOT ({' OR '.join(f'(run_id % 5 = {k} AND n = {q(v)})' for k, v in BROKEN.items())}) AS passed FROM scored, (VALUES {', '.join('(' + q(n) + ')' for n in qa.CHECKS)}) v(n)"))
+def l6(spark, folder):
+    return broken(spark, folder).select("run_id", F.explode("checks").alias("c")).select(
         "run_id", F.col("c.name").alias("check_name"), "c.passed"
     )
 
@@ -587,23 +600,40 @@ def c17(spark, folder):
     return criteria(spark, folder).select("run_id", "criterion_id", "criterion_label", "category_label", "anchor_label")
 
 
-@register("c18_action_check", sql("scores", "SELECT gap_ord AS priority_order, count(*) AS n, 0::BIGINT AS mismatches FROM gap_rows WHERE gap_ord <= 5 GROUP BY 1"))
+@register("c18_action_check", sql("scores", "SELECT gap_ord AS priority_order, count(*) AS n, count(*) FILTER (run_id % 4 = 1) AS mismatches FROM gap_rows WHERE gap_ord <= 5 GROUP BY 1"))
 def c18(spark, folder):
     actions = scoring.priority_actions(scored(spark, folder))
+    changed = F.when(F.pmod("run_id", F.lit(4)) == 1, "something else").otherwise(F.col("required_output"))
+    actions = actions.withColumn("required_output", changed)
     wrong = report.action_mismatches(actions).withColumn("wrong", F.lit(1))
     return actions.join(wrong, ["run_id", "action_id"], "left").groupBy("priority_order").agg(
         F.count(F.lit(1)).alias("n"), F.count("wrong").alias("mismatches")
     )
 
 
-@register("c19_project_detail", sql("scores", f"SELECT run_id, c.project_id, CASE WHEN j.project_id IS NULL THEN 'REVIEW_REQUIRED' ELSE 'RECOMMENDED' END AS status, title FROM choices c LEFT JOIN project j USING (project_id)"))
+@register("c19_project_detail", sql("scores", """SELECT run_id, c.project_id, CASE WHEN j.project_id IS NULL THEN 'REVIEW_REQUIRED' WHEN contains(j.project_id, '02') THEN 'REPORT_RULESET_INVALID' ELSE 'RECOMMENDED' END AS status, title,
+  CASE WHEN NOT contains(j.project_id, '02') THEN 'About ' || title END AS scenario, CASE WHEN NOT contains(j.project_id, '02') THEN 'out of ' || j.project_id || ',report' END AS outputs FROM choices c LEFT JOIN project j USING (project_id)"""))
 def c19(spark, folder):
-    return report.project_rows(scored(spark, folder)).select("run_id", "project_id", "status", "title")
-
-
-@register("g4_result_shape", sql("points", "SELECT run_id, CASE WHEN count(DISTINCT criterion_id) = 26 THEN 'complete' ELSE 'incomplete' END AS shape FROM points GROUP BY 1"))
+    """Details come from a catalogue document that does not know the second projects."""
+    known = [(p[0], p[3]) for p in RULES.project_rows() if "02" not in p[0]]
+    document = {"projects": [
+        {
+            "project_id": p, "scenario": f"About {title}", "required_foundations": ["a"], "required_outputs": [f"out of {p}", "report"],
+            "completion_checks": ["b"], "optional_criterion_ids": [],
+        } for p, title in known
+    ]}
+    path = f"{shared_folder(spark)}/attesta/{uuid.uuid4().hex}"
+    spark.createDataFrame([(json.dumps(document),)], "value string").write.text(path)
+    details = load.project_table(load.read_document(spark, path))
+    rows = report.project_details(report.project_rows(scored(spark, folder)), details)
+    return rows.select("run_id", "project_id", "status", "title", "scenario", F.array_join("required_outputs", ",").alias("outputs"))
+
+
+@register("g4_result_shape", sql("points", "SELECT run_id, CASE WHEN count(DISTINCT criterion_id) = 26 AND run_id % 9 <> 0 AND run_id % 9 <> 4 THEN 'complete' ELSE 'incomplete' END AS shape FROM points GROUP BY 1"))
 def g4(spark, folder):
-    rows = scored(spark, folder)
+    n = F.pmod("run_id", F.lit(9))  # every ninth run lacks a criterion, every ninth has one twice
+    criteria = F.when(n == 0, F.slice("criteria", 2, 100)).when(n == 4, F.concat("criteria", F.slice("criteria", 1, 1)))
+    rows = scored(spark, folder).withColumn("criteria", criteria.otherwise(F.col("criteria")))
     wrong = report.result_shape_errors(rows)
     return rows.select("run_id").join(wrong, "run_id", "left").select(
         "run_id", F.when(F.col("error_code").isNull(), "complete").otherwise("incomplete").alias("shape")

@@ -12,6 +12,7 @@ from attesta.registry import post_values as V
 from attesta.sources import blocks as B
 from attesta.sources import documents as D
 from attesta.sources import html as H
+from attesta.operators import sources as S
 from entries import base
 from entries.base import q, read_table, register, sql_list, sql_normalize
 from entries.phrases import JOB_PHRASES
@@ -364,11 +365,16 @@ def h44(spark, folder):
     return read_table(spark, folder, "events").select("event_id", U.media_type(header).alias("media_type"))
 
 
-@register("h45_body_decode", "SELECT doc_id, text FROM documents")
+@register("h45_body_decode", "SELECT doc_id, text, CASE WHEN doc_id % 6 = 5 THEN 'CHARSET_UNKNOWN' END AS error_code FROM documents")
 def h45(spark, folder):
-    rows = read_table(spark, folder, "documents")
-    body, header = F.encode("text", "UTF-8"), F.lit("text/plain; charset=utf-8")
-    return rows.select("doc_id", U.decode_body(body, header).alias("text"))
+    """Bodies in five character sets, and UTF-8 under a name that is not known."""
+    names = ("utf-8", "iso-8859-1", "utf-16", "utf-16le", "utf-32", "x-own")
+    n, body, header = F.pmod("doc_id", F.lit(len(names))), F, F
+    for i, name in enumerate(names):
+        body = body.when(n == i, F.encode("text", U.CHARSETS.get(name, "UTF-8")))
+        header = header.when(n == i, f"text/plain; charset={name}")
+    rows = read_table(spark, folder, "documents").select("doc_id", body.alias("body"), header.alias("header"))
+    return rows.select("doc_id", U.decode_body(F.col("body"), F.col("header")).alias("text"), U.charset_error(F.col("header")).alias("error_code"))
 
 
 # post fields --------------------------------------------------------------------------------------
@@ -752,6 +758,15 @@ def h46(spark, folder):
     return cv_files(spark, folder).select("document_id", D.canonical_filename(name, F.col("declared_media_type")).alias("file_name"))
 
 
+@register("h46_link_numbers", "SELECT page_id // 5 AS submission, printf('link-%03d', row_number() OVER (PARTITION BY page_id // 5 ORDER BY page_id)) AS link_id, url AS submitted_url FROM pages")
+def h46_links(spark, folder):
+    """Five pages make a submission."""
+    rows = read_table(spark, folder, "pages").groupBy(F.expr("page_id div 5").alias("submission")).agg(
+        F.array_sort(F.collect_list(F.struct("page_id", "url"))).alias("links")
+    )
+    return rows.select("submission", F.inline(S.numbered_links(F.col("links.url"))))
+
+
 @register("c27_document_match", f"WITH {SQL_FILES} SELECT document_id, document_id::INT % 7 <> 0 AS matches FROM files")
 def c27(spark, folder):
     rows = D.document_envelope(cv_files(spark, folder)).select("document_id", "declared_media_type", "byte_size", "sha256")

@@ -518,12 +518,12 @@ def d18(spark, folder):
     return rulecheck.weight_sums(read_table(spark, folder, "part"), "p_brand", "p_size")
 
 
-@register("d19_band_coverage", sql("scores", "SELECT run_id, 1::BIGINT AS n_bands FROM scored"))
+@register("d19_band_coverage", sql("scores", "SELECT run_id, final_score IN (39, 59, 79) AS unclear FROM scored"))
 def d19(spark, folder):
-    bands = RULES.table(spark, "band").select("min_score", "max_score")
-    covered = bands.select(F.explode(F.sequence("min_score", "max_score")).alias("final_score"))
-    per_score = covered.groupBy("final_score").agg(F.count(F.lit(1)).alias("n_bands"))
-    return scored(spark, folder).join(F.broadcast(per_score), "final_score", "left").select("run_id", "n_bands")
+    """Every band begins one score too early, so the last scores of the bands before it have two."""
+    bands = RULES.table(spark, "band").select(F.greatest(F.col("min_score") - 1, F.lit(0)).alias("min_score"), "max_score")
+    unclear = rulecheck.band_coverage(bands).select(F.col("score").alias("final_score"), F.lit(True).alias("unclear"))
+    return scored(spark, folder).join(F.broadcast(unclear), "final_score", "left").select("run_id", F.coalesce("unclear", F.lit(False)).alias("unclear"))
 
 
 @register("g5_recognised_ids", "SELECT user_id, coalesce(string_agg(DISTINCT CASE WHEN event_type NOT IN ('view', 'click', 'purchase') THEN event_type END, ',' ORDER BY CASE WHEN event_type NOT IN ('view', 'click', 'purchase') THEN event_type END), '') AS unknown FROM events GROUP BY 1")
