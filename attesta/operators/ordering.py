@@ -37,6 +37,21 @@ def number_rows(
     """
     slots = [f"_slot{i}" for i in range(len(bucket))]
     slotted = df.select("*", *[b.alias(s) for b, s in zip(bucket, slots)])
+    return _numbered(slotted, keys, order, slots, name)
+
+
+def number_in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "row_no") -> DataFrame:
+    """As ``number_rows``, for an order whose values may lie anywhere, such as hashes.
+
+    The rows are range-partitioned by key and order, and the partition is the bucket; the result of the
+    partitioning is written once, so its bounds are the same for all who read it. There is one small row per key and
+    partition, however the values are spread.
+    """
+    ranged = cut(df.repartitionByRange(*keys, *order).withColumn("_slot0", F.spark_partition_id()))
+    return _numbered(ranged, keys, order, ["_slot0"], name)
+
+
+def _numbered(slotted: DataFrame, keys: Sequence[str], order: Sequence[str], slots: Sequence[str], name: str) -> DataFrame:
     sizes = slotted.groupBy(*keys, *slots).agg(F.count(F.lit(1)).alias("_size"))
     earlier = (
         Window.partitionBy(*keys)

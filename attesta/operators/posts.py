@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from attesta.functions import posts as P
 from attesta.functions import text as T
 from attesta.functions import urls as U
-from attesta.operators.ordering import first_of_both, number_rows
+from attesta.operators.ordering import first_of_both, number_in_ranges
 from attesta.registry import post_values as V
 from attesta.sources.blocks import with_distinct_paragraphs
 
@@ -226,10 +226,10 @@ def track_code(track: Column) -> Column:
     return chain
 
 
-def allocate_ids(posts: DataFrame, existing: DataFrame, order: str = "page_id", width: int = 4096) -> DataFrame:
+def allocate_ids(posts: DataFrame, existing: DataFrame, order: str = "page_id") -> DataFrame:
     """Next IDs such as ``SE-001`` for new posts. Two tracks hold all rows, so numbering is split."""
     coded = posts.withColumn("code", track_code(F.col("track")))
-    numbered = number_rows(coded, ["code"], [order], [F.floor(F.col(order) / width)], "n")
+    numbered = number_in_ranges(coded, ["code"], [order], "n")
     codes = highest_ids(existing).filter(F.col("code").isin(*V.TRACK_CODES.values()))  # one row a track at most
     joined = numbered.join(F.broadcast(codes), "code", "left")
     number = F.col("n") + F.coalesce("highest", F.lit(0))

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from attesta.operators.ordering import first_of_both, number_rows
+from attesta.operators.ordering import first_of_both, number_in_ranges, number_rows
 
 
 def test_numbering_with_one_hot_key(spark):
@@ -15,6 +15,16 @@ def test_numbering_with_one_hot_key(spark):
         assert [got[r] for r in ordered] == list(range(1, len(ordered) + 1))
 
 
+def test_numbering_of_hashed_orders(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.choice(["a", "b"]), rnd.getrandbits(60)) for _ in range(500)]
+    df = spark.createDataFrame(rows, "k string, h long").repartition(3)
+    got = {(r.k, r.h): r.n for r in number_in_ranges(df, ["k"], ["h"], "n").collect()}
+    for key in ("a", "b"):
+        ordered = sorted(r for r in rows if r[0] == key)
+        assert [got[r] for r in ordered] == list(range(1, len(ordered) + 1))
+
+
 def test_first_of_both_equals_one_by_one(spark):
     rnd = random.Random(11)
     rows = [(i, f"a{rnd.randint(0, 40)}", rnd.choice([None, f"b{rnd.randint(0, 40)}"])) for i in range(150)]
