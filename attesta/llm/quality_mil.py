@@ -6,8 +6,8 @@ Only whole texts carry labels; which passages matter is learned from them.
 
 Training reads a bounded sample of labelled rows (``max_rows``, picked by a hash of the id among those
 that may be learned from). The sample of ids is broadcast (its size is that bound), their texts are
-encoded where they lie, and the encoded passages, 16 bits a number, train the model in numpy with
-fixed seeds. Scoring is one pass over the texts, without a shuffle, in blocks of bounded size.
+encoded where they lie and written to the shared folder, and as many of these rows as ``max_bytes``
+holds, 16 bits a number, train the model in numpy with fixed seeds. Scoring is one pass over the texts, without a shuffle, in blocks of bounded size.
 
 Defined results: a null or empty text is one passage of zeros and gets that score; a null ``doc_id`` is
 scored but never learned from and is not held out; repeated rows give a row each; labels that are
@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attesta.llm.common import cut
 from attesta.llm.passages import SHAPES, blocks, passage_features
 
 THRESHOLD = 0.3
@@ -32,9 +33,10 @@ THRESHOLD = 0.3
 
 @dataclass(frozen=True)
 class Settings:
-    """``max_rows`` bounds the labelled rows used for training; the rest shapes the model."""
+    """``max_rows`` and ``max_bytes`` (of encoded passages) bound what training uses; the rest shapes the model."""
 
     max_rows: int = 6000
+    max_bytes: int = 256_000_000
     passage_words: int = 64
     buckets: int = 256
     hidden: int = 32
@@ -150,7 +152,11 @@ def training_bags(docs: DataFrame, labels: DataFrame, settings: Settings) -> tup
             )
 
     schema = rows.select("doc_id", "_label", F.lit(b"").alias("bag")).schema
-    found = sorted(rows.mapInArrow(encode, schema).collect(), key=lambda r: (r["doc_id"], bytes(r["bag"])))
+    encoded = cut(rows.mapInArrow(encode, schema))
+    size = encoded.agg(F.sum(F.octet_length("bag")).alias("n")).first()["n"] or 0
+    fits = min(1.0, settings.max_bytes / max(size, 1))  # very long texts: fewer rows, each of them whole
+    taken = encoded.filter(F.pmod(F.xxhash64("doc_id", F.lit(19)), F.lit(1_000_000)) < int(fits * 1_000_000))
+    found = sorted(taken.collect(), key=lambda r: (r["doc_id"], bytes(r["bag"])))
     bags = [np.frombuffer(bytes(r["bag"]), np.float16).reshape(-1, SHAPES + buckets) for r in found]
     return bags, np.array([r["_label"] for r in found], dtype=np.float32)
 

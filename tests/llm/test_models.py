@@ -78,6 +78,15 @@ def test_quality_shapes(spark):
     assert Q.report(docs.limit(0), both).collect() == []
 
 
+def test_training_memory_is_bounded(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    limit = 400_000
+    bags, marks = Q.training_bags(docs, labels, Q.Settings(max_bytes=limit))
+    assert 0 < len(bags) == len(marks) and sum(2 * b.size for b in bags) < 3 * limit
+    few, _ = Q.training_bags(docs, labels, Q.Settings(max_rows=50))
+    assert 0 < len(few) < 120
+
+
 def test_language_on_held_out_rows(docs):
     rows = L.report(docs).collect()
     real = {r["doc_id"]: r["lang"] for r in docs.collect()}
