@@ -258,7 +258,7 @@ def d8(spark, folder):
 @register("i20_document_quality", sql("quality", f"SELECT {FACT} FROM quality_facts"))
 def i20(spark, folder):
     return classify.quality_facts(
-        base.blocks(spark, folder), technical(spark, folder), _emitted(spark, folder)
+        classify.source_summary(base.blocks(spark, folder)), technical(spark, folder), _emitted(spark, folder)
     ).select(*FACT_COLS)
 
 
