@@ -596,13 +596,18 @@ def c22(spark, folder):
     return O.new_posts(fresh, saved).select("page_id")
 
 
-@register("j5_batch_first_posts", record_sql("""SELECT track, page_id, url_key FROM st WHERE kept""", SQL_KEYS, """ord AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY track ORDER BY page_id) AS n FROM keys)""",
-"""st AS (
+def sql_first_posts(select: str, order: str) -> str:
+    """Posts kept one after the other in ``order``: the fold that the rounds of the operator have to equal."""
+    text = record_sql(select, SQL_KEYS, f"ord AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY track ORDER BY {order}) AS n FROM keys)", """st AS (
   SELECT DISTINCT track, 0::BIGINT AS n, []::VARCHAR[] AS urls, []::VARCHAR[] AS signs, NULL::BIGINT AS page_id, NULL::VARCHAR AS url_key, FALSE AS kept FROM ord
   UNION ALL
   SELECT track, n, CASE WHEN fresh THEN list_append(urls, url_key) ELSE urls END, CASE WHEN fresh AND signature IS NOT NULL THEN list_append(signs, signature) ELSE signs END, page_id, url_key, fresh
   FROM (SELECT ord.*, st.urls, st.signs, NOT list_contains(st.urls, ord.url_key) AND (signature IS NULL OR NOT list_contains(st.signs, signature)) AS fresh
-    FROM st JOIN ord ON ord.track = st.track AND ord.n = st.n + 1))""").replace("WITH", "WITH RECURSIVE", 1))
+    FROM st JOIN ord ON ord.track = st.track AND ord.n = st.n + 1))""")
+    return text.replace("WITH", "WITH RECURSIVE", 1)
+
+
+@register("j5_batch_first_posts", sql_first_posts("SELECT track, page_id, url_key FROM st WHERE kept", "page_id"))
 def first_posts(spark, folder):
     return O.first_of_each(records(spark, folder)).select("track", "page_id", "url_key")
 
