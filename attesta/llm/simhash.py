@@ -21,8 +21,12 @@ histograms do.
 
 Defined results: a null, empty or blank text has the fingerprint zero and links like any other; a
 row without ``doc_id`` links but gives no component its name (null if there is no other); repeated rows
-give a row each; an empty table gives no rows. In the stage, rows without ``doc_id`` stay, and of rows
-that repeat a ``doc_id`` one stays.
+give a row each; an empty table gives no rows.
+
+The stage ``clean`` does not use these settings, which are those of the query: three bits are far tighter
+than a similarity of 0.8. It removes near copies by verified five-word shingles (``near_copies``). In it,
+texts without words are copies of each other, rows without ``doc_id`` stay, and of rows that repeat a
+``doc_id`` one stays.
 """
 
 from __future__ import annotations
@@ -39,6 +43,7 @@ from pyspark.sql import functions as F
 
 from attesta.llm.common import LOWER, UPPER, cut
 from attesta.llm.components import components
+from attesta.llm.near_copies import near_copies
 
 BITS = 64
 SEED = 42
@@ -308,9 +313,9 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """One document of every group, with all its columns."""
-    found = near_duplicates(docs.filter("doc_id IS NOT NULL").select("doc_id", "text"))
-    stay = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
+    """One document of every group of near copies, with all its columns."""
+    found = near_copies(docs.filter("doc_id IS NOT NULL").select("doc_id", "text"))
+    stay = found.filter(F.col("doc_id") == F.col("first")).select(F.col("doc_id").alias("_id")).distinct()
     rows = docs.select(F.struct("*").alias("row"))
     kept = rows.join(stay, F.col("row.doc_id") == F.col("_id"), "left_semi")
     one = Window.partitionBy("row.doc_id").orderBy(F.xxhash64("row.text"))
