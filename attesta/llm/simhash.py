@@ -25,8 +25,8 @@ give a row each; an empty table gives no rows.
 
 The stage ``clean`` does not use these settings, which are those of the query: three bits are far tighter
 than a similarity of 0.8. It removes near copies by verified five-word shingles (``near_copies``). In it,
-texts without words are copies of each other, rows without ``doc_id`` stay, and of rows that repeat a
-``doc_id`` one stays.
+texts without words are copies of each other, rows without ``doc_id`` stay, and each group keeps one row;
+rows that repeat a ``doc_id`` with different texts are judged by their texts.
 """
 
 from __future__ import annotations
@@ -315,9 +315,10 @@ def report(docs: DataFrame) -> DataFrame:
 def clean(docs: DataFrame) -> DataFrame:
     """One document of every group of near copies, with all its columns."""
     found = near_copies(docs.filter("doc_id IS NOT NULL").select("doc_id", "text"))
-    stay = found.filter(F.col("doc_id") == F.col("first")).select(F.col("doc_id").alias("_id")).distinct()
+    stay = found.select(F.col("first.doc_id").alias("_id"), F.col("first.version").alias("_version")).distinct()
     rows = docs.select(F.struct("*").alias("row"))
-    kept = rows.join(stay, F.col("row.doc_id") == F.col("_id"), "left_semi")
-    one = Window.partitionBy("row.doc_id").orderBy(F.xxhash64("row.text"))
+    version = F.xxhash64("row.text")
+    kept = rows.join(stay, (F.col("row.doc_id") == F.col("_id")) & (version == F.col("_version")), "left_semi")
+    one = Window.partitionBy("row.doc_id", version).orderBy("row.text")
     numbered = kept.withColumn("n", F.row_number().over(one)).filter("n = 1").select("row.*")
     return numbered.unionByName(docs.filter("doc_id IS NULL"))

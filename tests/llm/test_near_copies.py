@@ -53,3 +53,12 @@ def test_stage_against_all_pairs(spark):
     assert {r["doc_id"] for r in simhash.clean(H.documents(spark, pairs)).collect()} == want
     # the settings of the query would leave near copies in
     assert len(set(H.groups([(d, H.fingerprint(t)) for d, t in pairs]))) > len(want)
+
+
+def test_repeated_ids_are_judged_by_their_texts(spark):
+    """An id has a unique text and a copy of another group: only the copy goes."""
+    words = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    for unique in ("x", "y", "z"):  # whatever the order of the texts' hashes
+        rows = [(1, words("a")), (5, words(unique)), (5, words("a")), (5, words("b")), (7, words("b")), (5, words(unique))]
+        kept = sorted((r["doc_id"], r["text"]) for r in simhash.clean(H.documents(spark, rows)).collect())
+        assert kept == sorted([(1, words("a")), (5, words(unique)), (5, words("b"))])
