@@ -1,7 +1,7 @@
 """Line dedup: a line that several documents hold stays only in the first of them.
 
 Only hashes are sorted, never text. Every line long enough becomes one row of two 64-bit hashes of
-its key, the document and its position. The rows are range-partitioned by hash and slice and sorted
+its key under different seeds, the document and its position. The rows are range-partitioned by hash and slice and sorted
 by document and position inside, and one pass streams the first holder of every hash in a slice. A
 slice is a 256th of the documents, so a line that a third of all documents share is spread over
 256 ranges. The first holders of the slices (at most 256 for a hash) are merged, and each slice gets
@@ -38,7 +38,7 @@ def line_occurrences(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     )
     keyed = rows.select("doc_id", "version", "pos", key_of(F.col("line")).alias("key"))
     return keyed.filter(F.char_length("key") >= min_chars).select(
-        F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit(1)).alias("h2"),
+        F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"),
         F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).cast("int").alias("slice"),
         "doc_id", "version", "pos",
     )

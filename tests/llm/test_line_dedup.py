@@ -62,3 +62,10 @@ def test_stage_keeps_columns(spark):
 def test_empty_table(spark):
     assert L.report(H.documents(spark, [])).collect() == []
     assert L.clean(H.documents(spark, [])).collect() == []
+
+
+def test_second_hash_is_no_function_of_the_first(spark):
+    """Spark chains the columns of a hash: (key, 1) would hash 1 under the first hash as its seed."""
+    rows = L.line_occurrences(H.documents(spark, [(1, "a line that is long enough")]))
+    chained = "xxhash64('a line that is long enough', 1)"
+    assert rows.filter(f"h2 = {chained} OR h2 = h1").count() == 0 and rows.count() == 1
