@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import decontaminate, html_extract, language_id, line_dedup, packing, pii, quality_mil, quality_rules, simhash, span_dedup
+from attesta.llm import (
+    alignment, decontaminate, html_extract, language_id, line_dedup, packing, pieces, pii, quality_mil, quality_rules,
+    simhash, span_dedup, spelling,
+)
 from attesta.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def register(name: str, sql: str | None = None):
@@ -77,3 +80,18 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @register("op10_quality_classifier")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return quality_mil.report(documents(spark, folder), table(spark, folder, "labels"))
+
+
+@register("op11_sentencepiece")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.report(documents(spark, folder), tokenizer_path("piece_bpe_32k.model"))
+
+
+@register("op12_spelling_variants", spelling.SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.report(documents(spark, folder))
+
+
+@register("op13_tokenizer_alignment")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.report(documents(spark, folder), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
