@@ -190,6 +190,12 @@ def new_posts(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     return fresh
 
 
+def key_texts(keyed: DataFrame) -> DataFrame:
+    """Both keys of ``post_keys`` as one text each with the track; null where the post has none."""
+    text = lambda key: F.when(F.col(key).isNotNull(), F.concat_ws(" ", "track", key))
+    return keyed.withColumn("url_text", text("url_key")).withColumn("signature_text", text("signature"))
+
+
 def first_of_each(posts: DataFrame, order: str = "page_id") -> DataFrame:
     """Posts of one batch that repeat no earlier kept post of their track."""
     keyed = post_keys(posts)

@@ -80,24 +80,37 @@ def merge_runs(incoming: DataFrame, existing: DataFrame, order: str = "run_id")
     Both sides: run_id, assessment_id, candidate_ref, track, document_hash, digest; ``order`` gives the sequence of
     the incoming rows. An assessment belongs to the candidate, track and document of its first run, stored or incoming;
     a run that differs from them is a conflict. A run written again has to be equal to the first one.
+    """
+    known = existing.groupBy("assessment_id").agg(F.min_by(belongs(), "run_id").alias("known"))
+    return merge_into(incoming, existing, known.select("assessment_id", "known.*"), order)
+
+
+def belongs() -> Column:
+    """What all runs of an assessment share."""
+    return F.struct("candidate_ref", "track", "document_hash")
+
+
+def merge_into(incoming: DataFrame, stored_runs: DataFrame, assessments: DataFrame, order: str) -> DataFrame:
+    """``merge_runs`` against stored runs (run_id, assessment_id, digest) and what their assessments belong to
+    (assessment_id, candidate_ref, track, document_hash), each once; rows of other keys do no harm.
 
     The first row of an assessment and of a run come from aggregations, so neither a frequent assessment nor a run
     that is replayed very often meets in one task.
     """
-    belongs = F.struct("candidate_ref", "track", "document_hash")
-    stored = existing.select(
+    own = belongs()
+    stored = stored_runs.select(
         "run_id", F.col("assessment_id").alias("old_assessment"), F.col("digest").alias("old_digest"), F.lit(True).alias("is_stored")
     )
-    known = existing.groupBy("assessment_id").agg(F.min_by(belongs, "run_id").alias("known"))
+    known = assessments.select("assessment_id", own.alias("known"))
     rows = incoming.join(stored, "run_id", "left").join(known, "assessment_id", "left")
     unseen = rows.filter("is_stored IS NULL")
     begins = unseen.groupBy("run_id").agg(F.min(order).alias("begin"))
     opened = (
         unseen.filter("known IS NULL").join(begins, "run_id").filter(F.col(order) == F.col("begin"))
-        .groupBy("assessment_id").agg(F.min_by(belongs, order).alias("opened"))
+        .groupBy("assessment_id").agg(F.min_by(own, order).alias("opened"))
     )
     judged = rows.join(opened, "assessment_id", "left").withColumn(
-        "fits", F.coalesce("known", "opened").eqNullSafe(belongs)
+        "fits", F.coalesce("known", "opened").eqNullSafe(own)
     )
     place = F.struct(F.col(order).alias("at"), F.col("assessment_id"), F.col("digest"))
     written = judged.filter("is_stored IS NULL AND fits").groupBy("run_id").agg(F.min(place).alias("written"))

@@ -337,7 +337,44 @@ def j1(spark, folder):
     )
     stream = spark.readStream.schema(bought.schema).option("maxFilesPerTrigger", 1).parquet(source)
     EV.unlock(stream, payments, assessments, f"{out}/table", f"{out}/checkpoint")
-    return spark.read.parquet(f"{out}/table").select("event_id", "outcome")
+    return EV.latest_outcomes(spark.read.parquet(f"{out}/table"))
+
+
+@register("j1_retried_unlock", """WITH bought AS (SELECT event_id, user_id, ts, event_id % 3 AS tx FROM events WHERE event_type = 'purchase'),
+delivered AS (SELECT b.*, n, n > user_id % 4 AS there, n > user_id % 3 AS done FROM bought b, (VALUES (1), (2), (3)) v(n)
+  WHERE n = 2 OR (n = 1 AND event_id % 2 = 0) OR (n = 3 AND event_id % 5 <> 0)),
+winners AS (SELECT user_id, arg_min(event_id, (n, ts, event_id)) AS won, arg_min(tx, (n, ts, event_id)) AS won_tx FROM delivered WHERE there AND done GROUP BY 1),
+answered AS (SELECT *, min(n) FILTER (there AND done) OVER (PARTITION BY event_id) AS final FROM delivered)
+SELECT a.n AS delivery, a.event_id, CASE WHEN NOT there THEN 'not_found' WHEN NOT done THEN 'not_completed' WHEN a.event_id = w.won THEN 'unlocked' WHEN a.tx = w.won_tx THEN 'idempotent' ELSE 'conflict' END AS outcome
+FROM answered a LEFT JOIN winners w USING (user_id) WHERE final IS NULL OR a.n <= final""")
+def j1_retried(spark, folder):
+    """Three deliveries that repeat events, while payments and completed runs appear between them."""
+    source, out = folder_for(spark), folder_for(spark)
+    events = read_table(spark, folder, "events")
+    bought = events.filter(F.col("event_type") == "purchase").select(
+        "event_id", F.concat(F.lit("ref-"), "user_id").alias("reference"),
+        F.concat(F.lit("tx-"), "user_id", F.lit("-"), F.pmod("event_id", F.lit(3))).alias("transaction_id"),
+        F.col("ts").cast("timestamp").alias("paid_at"), F.lit(N.PRODUCT["amount_minor"]).alias("amount_minor"),
+        F.lit(N.PRODUCT["currency"]).alias("currency"),
+    )
+    every = lambda n: F.pmod("event_id", F.lit(n)) == 0
+    users = events.select("user_id").distinct()
+    who = F.concat(F.lit("u-"), "user_id")
+    for n, part in enumerate([bought.filter(every(2)), bought, bought.filter(~every(5))], 1):
+        write_deliveries([part], source)
+        payments = users.filter(F.pmod("user_id", F.lit(4)) < n).select(
+            F.concat(F.lit("pay-"), "user_id").alias("payment_id"), F.col("user_id").alias("assessment_id"), who.alias("owner_user_id"),
+            *[F.lit(N.PRODUCT[c]).alias(c) for c in ("product_id", "billing_model", "provider", "amount_minor", "currency")],
+            F.concat(F.lit("ref-"), "user_id").alias("provider_reference"), F.lit("INITIALIZED").alias("status"),
+            F.lit(None).cast("string").alias("provider_transaction_id"),
+        )
+        assessments = users.select(
+            F.col("user_id").alias("assessment_id"), who.alias("owner_user_id"),
+            F.when(F.pmod("user_id", F.lit(3)) < n, "COMPLETED").otherwise("RUNNING").alias("run_state"),
+        )
+        stream = spark.readStream.schema(bought.schema).parquet(source)
+        EV.unlock(stream, payments, assessments, f"{out}/table", f"{out}/checkpoint")
+    return spark.read.parquet(f"{out}/table").select((F.col("batch") + 1).cast("int").alias("delivery"), "event_id", "outcome")
 
 
 CHANGES = {"signup": "created", "click": "initialized", "error": "failed", "purchase": "succeeded"}
@@ -381,8 +418,8 @@ def j3(spark, folder):
     rows = read_table(spark, folder, "events").select(F.col("user_id").alias("owner"), "event_id", F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"))
     late = F.pmod("event_id", F.lit(10)) == 0
     write_deliveries([rows.filter(~late), rows.filter(late)], source)
-    stream = EV.checkout_attempts(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source))
-    run_available(stream, lambda df, n: write_batch(df, f"{out}/table", n), f"{out}/checkpoint")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    EV.follow_checkouts(stream, f"{out}/table", f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/table").select("owner", "event_id", "outcome")
 
 
