@@ -19,7 +19,8 @@ from tokenizers import Tokenizer
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: White space runs from this length on are left to the tokenizers library.
-LONG_RUN = re.compile(r"\s{50000}")
+LONGEST_RUN = 50_000
+LONG_RUN = re.compile(rf"(?<!\s)\s{{{LONGEST_RUN}}}")
 
 
 def byte_letters() -> dict[str, int]:
@@ -83,7 +84,7 @@ def encoder(path: str, special: bool = True) -> Callable[[str], np.ndarray]:
     allowed = {"allowed_special": "all"} if special else {"allowed_special": set(), "disallowed_special": ()}
 
     def encode(text: str) -> np.ndarray:
-        if LONG_RUN.search(text):
+        if len(text) >= LONGEST_RUN and LONG_RUN.search(text):
             return slow(text)
         return fast.encode_to_numpy(text, **allowed)
 

@@ -14,7 +14,6 @@ columns of the input are ignored.
 
 from __future__ import annotations
 
-import json
 import zlib
 from collections.abc import Iterator
 
@@ -23,6 +22,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from attesta.llm.byte_bpe import encoder
+
 PIECES = (
     "doc_id {id}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 )
@@ -64,35 +65,6 @@ class OpenBins:
         return number, self.capacity - free
 
 
-def byte_letters() -> dict[str, int]:
-    """Byte of every letter that byte-level vocabularies write for it."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    shifted = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(shifted)}
-
-
-def encoder(path: str):
-    """Function text -> array of ids, from the file of a byte-level BPE tokenizer.
-
-    The merges run in tiktoken, which gives the same ids several times faster.
-    """
-    import tiktoken
-
-    with open(path, encoding="utf-8") as file:
-        spec = json.load(file)
-    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-    letters = byte_letters()
-    ranks = {
-        bytes(letters[c] for c in token): number
-        for token, number in spec["model"]["vocab"].items()
-        if token not in special
-    }
-    #: Fixed value: how byte-level tokenizers of this kind cut a text before merging.
-    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    made = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: made.encode_to_numpy(text, allowed_special="all")
-
-
 def cuts(total: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces: all full but for the first."""
     first = total % capacity or min(total, capacity)

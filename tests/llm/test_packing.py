@@ -1,10 +1,13 @@
+import json
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
+from attesta.llm import byte_bpe
 from attesta.llm import packing as P
 from tests.llm import helpers as H
 
@@ -21,6 +24,34 @@ def test_ids_equal_the_tokenizer():
         assert encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "a" + " \t" * 30_000 + "b", "x" * 100_000])
+def test_very_long_runs(text):
+    whole = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False)
+    assert P.encoder(PATH)(text).tolist() == whole.ids
+
+
+def test_other_tokenizer_files(tmp_path):
+    """Files of another kind go to the tokenizers library itself."""
+    with open(PATH, encoding="utf-8") as file:
+        spec = json.load(file)
+    assert byte_bpe.plain_kind(spec)
+    spaced = json.loads(json.dumps(spec))
+    spaced["pre_tokenizer"]["add_prefix_space"] = True
+    swapped = json.loads(json.dumps(spec))
+    swapped["model"]["merges"][:2] = swapped["model"]["merges"][1::-1]
+    lower = json.loads(json.dumps(spec))
+    lower["normalizer"] = {"type": "Lowercase"}
+    text = "The Whole <|endoftext|> thing's  12 th"
+    for n, other in enumerate((spaced, swapped, lower)):
+        path = str(tmp_path / f"{n}.json")
+        with open(path, "w", encoding="utf-8") as file:
+            json.dump(other, file)
+        assert not byte_bpe.plain_kind(other)
+        assert P.encoder(path)(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    words = public_tokenizers.path("word_bpe_49k.json")
+    assert P.encoder(words)(text).tolist() == Tokenizer.from_file(words).encode(text, add_special_tokens=False).ids
+
+
 def test_pieces_and_places(spark):
     rng = random.Random(6)
     texts = [" ".join(rng.choice(["alpha", "élan", "rho.", "x"]) for _ in range(rng.choice([3, 40, 300, 900, 4000]))) for _ in range(120)]
