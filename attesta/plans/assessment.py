@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from attesta.operators import binding, classify, evidence, qa, scoring
 from attesta.operators.ordering import cut
+from attesta.operators.sources import with_retrievals
 from attesta.registry import Registry, default_registry
 
 COMPLETED, REVIEW, FAILED = "COMPLETED", "REVIEW_REQUIRED", "ASSESSMENT_PIPELINE_FAILED"
@@ -32,15 +33,22 @@ def assess(
     blocks: DataFrame,
     registry: Registry | None = None,
     materialize: bool = True,
+    link_retrievals: DataFrame | None = None,
 ) -> Assessment:
     """Facts, bindings, scores and outcome of every run.
 
+    With ``link_retrievals`` (locator, retrieved_at, access_status, content_hash) links are read as they were at
+    ``runs.assessed_at``; see ``sources.with_retrievals``.
+
     ``runs``: run_id, track, cv_hash, links_ok. ``sources``: see ``binding.scoreable_source``.
     ``blocks``: see ``attesta.operators.evidence``. With ``materialize`` the scanned sentences and
     the facts, which several branches read, are written once to the shared folder.
     """
     rules = registry or default_registry()
     stage = cut if materialize else (lambda df: df)
+    if link_retrievals is not None:
+        sources, blocks = with_retrievals(sources, blocks, runs, link_retrievals)
+        sources = stage(sources)
     sentences = stage(
         evidence.with_qualification_hits(evidence.scan_sentences(blocks, rules), rules)
     )

@@ -272,6 +272,27 @@ def h50(spark, folder):
     return rows.select(record.alias("r")).select("r.source_id", "r.source_type", "r.ownership_status", "r.locator", "r.extractor_version")
 
 
+@register("k1_retrievals_as_of", sql("sources", """SELECT run_id, source_id, CASE WHEN source_type = 'cv' THEN access_status WHEN run_id % 4 = 0 THEN 'inaccessible'
+    WHEN run_id % 3 = 0 AND run_id % 2 = 0 THEN 'inaccessible' ELSE 'accessible' END AS access_status,
+  CASE WHEN source_type = 'cv' THEN content_hash WHEN run_id % 4 = 0 OR (run_id % 3 = 0 AND run_id % 2 = 0) THEN NULL
+    ELSE sha256(locator || CASE WHEN run_id % 2 = 0 THEN ' second' ELSE ' first' END) END AS content_hash FROM sources"""))
+def k1_as_of(spark, folder):
+    """Links retrieved twice: every third one is gone the second time. Even runs come after it, odd ones before it, and
+    every fourth one before both."""
+    all_sources = base.sources(spark, folder)
+    at = lambda day: F.lit(f"2026-01-0{day} 00:00:00").cast("timestamp")
+    n = lambda m: F.pmod("run_id", F.lit(m)) == 0
+    runs = base.runs(spark, folder).select("run_id", F.when(n(4), at(1)).when(n(2), at(5)).otherwise(at(3)).alias("assessed_at"))
+    links = all_sources.filter(F.col("source_type") != "cv")
+    visit = lambda day, name, gone: links.select(
+        "locator", at(day).alias("retrieved_at"), F.when(gone, "inaccessible").otherwise("accessible").alias("access_status"),
+        F.when(~gone, F.sha2(F.concat("locator", F.lit(f" {name}")), 256)).alias("content_hash"),
+    )
+    retrievals = visit(2, "first", F.lit(False)).unionByName(visit(4, "second", n(3)))
+    seen, _ = S.with_retrievals(all_sources, base.blocks(spark, folder), runs, retrievals)
+    return seen.select("run_id", "source_id", "access_status", "content_hash")
+
+
 @register("h40_canonical_json", "SELECT o_orderkey AS run_id, to_json({'o_custkey': o_custkey, 'o_orderpriority': o_orderpriority, 'o_orderstatus': o_orderstatus})::VARCHAR AS document FROM orders")
 def h40(spark, folder):
     rows = read_table(spark, folder, "orders")
