@@ -6,7 +6,7 @@ that space itself, so both cover the same bytes.
 1. Every text is tokenised whole by both. Token ends are running sums of byte lengths. An anchor is an end that both
    share, after which both go on with a space-marked token. Anchors cut the document into windows.
 2. A window's alignment only depends on its ids. It is computed once by walking both rows of tokens and kept in a
-   table of bounded size under the pair of id tuples; long windows are walked each time.
+   table of bounded size under the ids of both tokenizers; long windows are walked each time.
 3. Corpus counts: ``block_documents`` documents or ``block_links`` different links (a document at least) make a block,
    which carries its different id pairs and their document counts once. Documents refer to their block's pairs by
    position. Counts are summed per pair; the highest count per first id is a table of one row per id of the first
@@ -22,7 +22,7 @@ length are aligned whole; an empty table gives no rows; further columns of the i
 
 from __future__ import annotations
 
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -56,84 +56,126 @@ def piece_bytes(path: str) -> tuple[sentencepiece.SentencePieceProcessor, list[b
     return model, found
 
 
-def walk(a: list[int], b: list[int], a_size: list[int], b_size: list[int]) -> tuple[str, int, list[int]]:
-    """(groups, number of groups, pairs) of two rows of ids that cover the same bytes.
+class Vocabulary:
+    """Byte lengths and bytes of a tokenizer's ids."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.sizes = np.array([len(t) for t in tokens])
+        self.size_list = self.sizes.tolist()
+        self.marked = np.array([t.startswith(b" ") for t in tokens])
+        self.names = [str(i) for i in range(len(tokens))]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+
+    def gives_back(self, ids: np.ndarray, ends: np.ndarray, whole: np.ndarray) -> bool:
+        """Whether the bytes of ``ids``, which end at ``ends``, are those of ``whole``."""
+        if not len(ids) or ends[-1] != len(whole):
+            return False
+        sizes = self.sizes[ids]
+        shift = np.repeat(self.starts[ids] - (ends - sizes), sizes)
+        return bool((self.flat[np.arange(len(whole)) + shift] == whole).all())
+
+
+def walk(a: list[int], b: list[int], first: Vocabulary, second: Vocabulary) -> tuple[str, list[int]]:
+    """(groups, pairs) of two rows of ids that cover the same bytes.
 
     Groups read ``a1,a2|b1``, joined by semicolons; pairs are all whose byte ranges overlap, in order.
     """
-    groups, pairs = [], []
-    i = j = first_a = first_b = 0
-    a_end, b_end = a_size[a[0]], b_size[b[0]]
+    a_names, b_names = [*map(first.names.__getitem__, a)], [*map(second.names.__getitem__, b)]
+    if len(a) == 1 or len(b) == 1:
+        return ",".join(a_names) + "|" + ",".join(b_names), [x * WIDTH + y for x in a for y in b]
+    a_size, b_size = first.size_list, second.size_list
+    groups, pairs = "", []
+    i = j = 0
+    group_a, group_b = a_names[0], b_names[0]
+    x, y = a[0], b[0]
+    ahead = a_size[x] - b_size[y]
     while True:
-        pairs.append(a[i] * WIDTH + b[j])
-        same = a_end == b_end
-        next_a, next_b = a_end <= b_end, b_end <= a_end
-        if next_a:
+        pairs.append(x * WIDTH + y)
+        if ahead < 0:
             i += 1
-        if next_b:
+            x = a[i]
+            group_a += "," + a_names[i]
+            ahead += a_size[x]
+        elif ahead:
             j += 1
-        if same:
-            groups.append(",".join(map(str, a[first_a:i])) + "|" + ",".join(map(str, b[first_b:j])))
+            y = b[j]
+            group_b += "," + b_names[j]
+            ahead -= b_size[y]
+        else:
+            groups += group_a + "|" + group_b
+            i, j = i + 1, j + 1
             if i == len(a):
-                return ";".join(groups), len(groups), pairs
-            first_a, first_b = i, j
-        if next_a:
-            a_end += a_size[a[i]]
-        if next_b:
-            b_end += b_size[b[j]]
+                return groups, pairs
+            groups += ";"
+            x, y = a[i], b[j]
+            group_a, group_b = a_names[i], b_names[j]
+            ahead = a_size[x] - b_size[y]
+
+
+#: The ids of a window of both tokenizers, each row as the bytes of its ids.
+Window = tuple[bytes, bytes]
 
 
 class Aligner:
-    """Alignments of texts; ``kept`` bounds the table of windows."""
-
-    def __init__(self, byte_model: str, piece_model: str, kept: int = 300_000):
-        self.first = byte_bpe.encoder(byte_model, special=False)
-        self.second, b = piece_bytes(piece_model)
-        a = byte_bpe.token_bytes(byte_model)
-        self.a_bytes, self.b_bytes = a, b
-        self.a_size, self.b_size = [len(t) for t in a], [len(t) for t in b]
-        self.a_sizes, self.b_sizes = np.array(self.a_size), np.array(self.b_size)
-        self.a_marked, self.b_marked = (np.array([t.startswith(b" ") for t in tokens]) for tokens in (a, b))
+    """Alignments of texts. Windows are kept in two tables of up to ``kept``: when the newer one is full it becomes the
+    older one, and what is asked for again moves back."""
+
+    def __init__(self, byte_model: str, piece_model: str, kept: int = 400_000):
+        self.encode_first = byte_bpe.encoder(byte_model, special=False)
+        self.model, pieces = piece_bytes(piece_model)
+        self.first, self.second = Vocabulary(byte_bpe.token_bytes(byte_model)), Vocabulary(pieces)
         self.kept = kept
-        self.memo: dict[tuple, tuple[str, int, list[int]]] = {}
+        self.newer: dict[Window, tuple[str, bytes]] = {}
+        self.older: dict[Window, tuple[str, bytes]] = {}
 
-    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """Both rows of ids, or None if one of them does not give the bytes back."""
+    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """Ids of both tokenizers and their ends, or None if one of them does not give the bytes back."""
         if not text:
             return None
-        a = self.first(" " + text)
-        b = np.array(self.second.encode(text), dtype=np.int64)
-        whole = (" " + text).encode()
-        for ids, known in ((a, self.a_bytes), (b, self.b_bytes)):
-            if b"".join([known[i] for i in ids.tolist()]) != whole:
-                return None
-        return a, b
-
-    def align(self, a: np.ndarray, b: np.ndarray) -> tuple[str, int, Counter]:
-        """(groups, number of groups, occurrences of every pair) of a whole text."""
-        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        a = self.encode_first(" " + text)
+        b = np.array(self.model.encode(text), dtype=np.int64)
+        a_ends, b_ends = np.cumsum(self.first.sizes[a]), np.cumsum(self.second.sizes[b])
+        whole = np.frombuffer((" " + text).encode(), dtype=np.uint8)
+        if self.first.gives_back(a, a_ends, whole) and self.second.gives_back(b, b_ends, whole):
+            return a, b, a_ends, b_ends
+        return None
+
+    def window(self, key: Window, a: list[int], b: list[int]) -> tuple[str, bytes]:
+        """Groups and pairs (as bytes) of a window that is not in the newer table."""
+        made = self.older.get(key)
+        if made is None:
+            groups, pairs = walk(a, b, self.first, self.second)
+            made = groups, array("q", pairs).tobytes()
+        if len(a) + len(b) <= LONGEST:
+            if len(self.newer) >= self.kept:
+                self.older, self.newer = self.newer, {}
+            self.newer[key] = made
+        return made
+
+    def align(self, a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[str, np.ndarray]:
+        """(groups, pairs) of a whole text; a pair occurs once per link."""
         shared = np.intersect1d(a_ends, b_ends, assume_unique=True)
         a_next, b_next = np.searchsorted(a_ends, shared) + 1, np.searchsorted(b_ends, shared) + 1
         inner = shared < a_ends[-1]
         anchor = ~inner
-        anchor[inner] = self.a_marked[a[a_next[inner]]] & self.b_marked[b[b_next[inner]]]
-        texts, n_groups, pairs = [], 0, []
-        memo, a_list, b_list = self.memo, a.tolist(), b.tolist()
+        anchor[inner] = self.first.marked[a[a_next[inner]]] & self.second.marked[b[b_next[inner]]]
+        a_list, b_list = a.tolist(), b.tolist()
+        a_ids, b_ids = array("I", a_list).tobytes(), array("I", b_list).tobytes()
+        size = array("I").itemsize
+        made = []
+        known = self.newer.get
         i = j = 0
         for next_i, next_j in zip(a_next[anchor].tolist(), b_next[anchor].tolist()):
-            key = (tuple(a_list[i:next_i]), tuple(b_list[j:next_j]))
-            made = memo.get(key)
-            if made is None:
-                made = walk(a_list[i:next_i], b_list[j:next_j], self.a_size, self.b_size)
-                if next_i - i + next_j - j <= LONGEST:
-                    if len(memo) >= self.kept:
-                        memo.clear()
-                    memo[key] = made
-            texts.append(made[0])
-            n_groups += made[1]
-            pairs += made[2]
+            key = a_ids[size * i : size * next_i], b_ids[size * j : size * next_j]
+            found = known(key)
+            if found is None:
+                found = self.window(key, a_list[i:next_i], b_list[j:next_j])
+                known = self.newer.get
+            made.append(found)
             i, j = next_i, next_j
-        return ";".join(texts), n_groups, Counter(pairs)
+        groups, pairs = zip(*made)
+        return ";".join(groups), np.frombuffer(b"".join(pairs), np.int64)
 
 
 @lru_cache(maxsize=2)
@@ -183,13 +225,14 @@ def align_documents(
                 if tokens is None:
                     rows.append((block, 0, 0, 0, 0, "", [], [], None, None))
                 else:
-                    groups, n_groups, links = own.align(*tokens)
-                    places = [met.setdefault(pair, len(met)) for pair in links]
+                    groups, links = own.align(*tokens)
+                    pairs, times = np.unique(links, return_counts=True)
+                    places = [met.setdefault(pair, len(met)) for pair in pairs.tolist()]
                     counts += [0] * (len(met) - len(counts))
                     for place in places:
                         counts[place] += 1
-                    sizes = len(tokens[0]), len(tokens[1]), n_groups, links.total()
-                    rows.append((block, *sizes, groups, places, list(links.values()), None, None))
+                    sizes = len(tokens[0]), len(tokens[1]), groups.count(";") + 1, len(links)
+                    rows.append((block, *sizes, groups, places, times.tolist(), None, None))
                 in_block += 1
                 held += len(text)
                 if held >= 1 << 22 or row == batch.num_rows - 1:
