@@ -18,7 +18,7 @@ def test_names():
     assert [n for n, _ in C.STAGES] == [
         "quality_classifier", "line_dedup", "simhash_near_duplicates", "benchmark_decontamination", "best_fit_packing",
     ]
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14)) and set(ORACLES) <= set(QUERIES)
 
 
 @pytest.fixture(scope="module")
