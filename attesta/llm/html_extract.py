@@ -5,23 +5,29 @@ headers, footers, sidebars, notices, adverts, forms, comments, scripts) makes no
 alone: a block made of links is bad; a long block, or one with many stop words, is good; the others
 are ambiguous. Second pass: an ambiguous block takes the label of its nearest decided neighbours in its
 own container, bad only when the decided blocks on all sides are bad. Where no neighbour is decided,
-the container is: an article is good, a bare page is bad.
+the container is: an article is good, a bare page is bad. A bare page without any good block, say in a language
+whose stop words are not known here, has its long blocks of low link density as main text, or else all blocks that
+are not made of links. Good blocks of the container around the article, such as a headline, belong to the text.
 
-One pass over the pages, no shuffle; a task holds one batch of pages and one page's blocks.
+One pass over the pages, no shuffle; a task holds one batch of pages and one page's blocks. Time is linear in the
+page's length, also for markup that is never closed.
 
 Defined results: null or empty html gives the empty text; a null ``page_id`` or ``url`` is passed on;
-repeated rows give a row each; an empty table gives no rows; further columns of the input are ignored.
+repeated rows give a row each; an empty table gives no rows; further columns of the input are ignored. A ``page_id``
+that is no whole number comes back as a string.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from dataclasses import dataclass
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attesta.llm.common import arrow_rows
 
@@ -57,6 +63,8 @@ FURNITURE = {
     "search", "share", "sharing", "social", "related", "recommended", "recommendations", "pagination", "pager",
     "disclaimer", "copyright", "comments", "comment", "commentlist", "replies", "reply", "respond", "disqus", "hidden",
 }
+# Parts of longer names that also mark text inside of an article, as in entry-header, side-by-side, alert-level.
+WEAK = {"header", "side", "alert"}
 COMMENTS = {"comments", "comment", "commentlist", "replies", "reply", "respond", "disqus"}
 CONTENT = {
     "articlebody", "article-body", "article-content", "article-text", "article", "post-content", "post-body", "entry-content",
@@ -72,12 +80,13 @@ STOP_WORDS = frozenset(
 )
 
 TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>",
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>",
     re.DOTALL,
 )
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 MARKED = re.compile(r"class|\bid\b|role|hidden|display|itemprop", re.IGNORECASE)
 PARTS = re.compile(r"[^a-z0-9]+")
+RAW_END = {name: re.compile(f"</{name}[^>]*>", re.IGNORECASE) for name in RAW}
 
 
 @dataclass(frozen=True)
@@ -98,10 +107,11 @@ class Block:
     tag: str
     zone: int
     strength: int
+    around: int = 0
     label: bool | None = None
 
 
-def marks_of(name: str, attributes: str) -> tuple[bool, bool]:
+def marks_of(name: str, attributes: str, in_article: bool = False) -> tuple[bool, bool]:
     """(furniture, content) as an element's attributes tell."""
     if not attributes or not MARKED.search(attributes):
         return False, False
@@ -109,7 +119,10 @@ def marks_of(name: str, attributes: str) -> tuple[bool, bool]:
     for key, a, b, c in ATTRIBUTE.findall(attributes):
         values.setdefault(key.lower(), (a or b or c).lower())
     names = f"{values.get('class', '')} {values.get('id', '')}".split()
-    words = {w for n in names for w in PARTS.split(n)} | set(names)
+    words = {w for n in names for w in PARTS.split(n)}
+    if in_article:
+        words -= WEAK
+    words |= set(names)
     role = values.get("role", "")
     content = bool(CONTENT.intersection(names)) or role == "main" or "articlebody" in values.get("itemprop", "")
     if name in ("html", "body", "main"):
@@ -128,8 +141,11 @@ def blocks_of(html: str) -> list[Block]:
     out: list[Block] = []
     # open elements: name, left out, inside a link, zone, strength of the zone
     stack: list[tuple[str, bool, bool, int, int]] = [("", False, False, 0, 0)]
+    # where the open elements of a name are in the stack, and where the open block-level ones are
+    places: defaultdict[str, list[int]] = defaultdict(list)
+    levels: list[int] = [0]
+    around = {0: 0}
     parts: list[tuple[str, bool]] = []
-    zones = 0
     breaks = 0
 
     def close_block() -> None:
@@ -138,20 +154,30 @@ def blocks_of(html: str) -> list[Block]:
             text = " ".join(unescape("".join(p for p, _ in parts)).split())
             if text:
                 links = " ".join(unescape(" ".join(p for p, link in parts if link)).split())
-                tag = next((s[0] for s in reversed(stack) if s[0] in BLOCKS), "")
                 _, _, _, zone, strength = stack[-1]
-                out.append(Block(text, len(links), tag, zone, strength))
+                out.append(Block(text, len(links), stack[levels[-1]][0], zone, strength, around[zone]))
             parts = []
 
+    def nearest(names: set[str]) -> int:
+        return max((places[n][-1] for n in names if places[n]), default=0)
+
     def pop_to(place: int) -> None:
-        if place and any(s[0] in BLOCKS for s in stack[place:]):
+        if levels[-1] >= place:
             close_block()
-        del stack[place:]
+        while len(stack) > place:
+            places[stack.pop()[0]].pop()
+        while levels[-1] >= place:
+            levels.pop()
 
     at, end = 0, len(html)
+    last = html.rfind(">") + 1  # no tag ends beyond
     while at < end:
-        found = TAG.search(html, at)
-        start = found.start() if found else end
+        found = TAG.search(html, at, last) if at < last else None
+        if found:
+            start = found.start()
+        else:
+            start = html.find("<!--", at)  # a comment that is never closed
+            start = end if start < 0 else start
         if start > at and not stack[-1][1]:
             piece = html[at:start]
             if breaks and piece.strip():
@@ -162,16 +188,17 @@ def blocks_of(html: str) -> list[Block]:
         at = found.end()
         name = (found[2] or found[5] or "").lower()
         if not name:
+            if found[0].startswith("<!--") and not found[0].endswith("-->"):
+                break
             continue
         if found[1] or found[4]:
-            place = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
-            if place:
-                pop_to(place)
+            if places[name]:
+                pop_to(places[name][-1])
             elif name in BLOCKS and not stack[-1][1]:
                 close_block()
             continue
         if name in RAW:
-            closing = re.compile(f"</{name}[^>]*>", re.IGNORECASE).search(html, at)
+            closing = RAW_END[name].search(html, at, last)
             at = closing.end() if closing else end
             continue
         if name == "br":
@@ -184,30 +211,25 @@ def blocks_of(html: str) -> list[Block]:
             breaks = 0
             if name in CLOSED_BY:
                 closes, stops = CLOSED_BY[name]
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in stops:
-                        break
-                    if stack[i][0] in closes:
-                        pop_to(i)
-                        break
-            else:  # a block ends an open paragraph
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == "p":
-                        pop_to(i)
-                        break
-                    if stack[i][0] in BLOCKS:
-                        break
+                open_one = nearest(closes)
+                if open_one > nearest(stops):
+                    pop_to(open_one)
+            elif stack[levels[-1]][0] == "p":  # a block ends an open paragraph
+                pop_to(levels[-1])
             close_block()
         if name in VOID:
             continue
         _, left_out, link, zone, strength = stack[-1]
         if not left_out:
-            furniture, content = marks_of(name, found[3] or found[6] or "")
+            furniture, content = marks_of(name, found[3] or found[6] or "", strength == 2)
             left_out = furniture or name in LEFT_OUT or (name == "header" and strength < 2)
             power = 2 if name == "article" else 1 if content or name == "main" else 0
             if power > strength:
-                zones += 1
-                zone, strength = zones, power
+                around[len(around)] = zone
+                zone, strength = len(around) - 1, power
+        places[name].append(len(stack))
+        if name in BLOCKS:
+            levels.append(len(stack))
         stack.append((name, left_out, link or name == "a", zone, strength))
     close_block()
     return out
@@ -250,14 +272,26 @@ def second_pass(blocks: list[Block]) -> None:
             block.label = any(near) if near else block.strength > 0
 
 
+def bare_pass(blocks: list[Block], rules: Rules) -> None:
+    """On a page without container and without good block, long blocks are good, or else all that no links make up."""
+    if any(b.label or b.strength for b in blocks):
+        return
+    open_ones = [b for b in blocks if b.label is None]
+    for block in [b for b in open_ones if len(b.text) >= rules.long_chars] or open_ones:
+        block.label = True
+
+
 def main_text(html: str | None, rules: Rules = Rules()) -> str:
     blocks = blocks_of(html) if html else []
     for block in blocks:
         block.label = first_pass(block, rules)
+    bare_pass(blocks, rules)
     second_pass(blocks)
     good = [b for b in blocks if b.label]
     top = max((b.strength for b in good), default=0)
-    inside = [b for b in good if b.strength == top]
+    # the container right around the article, if it is one, holds its headline and lead
+    frames = {b.around for b in good if b.strength == top and top}
+    inside = [b for b in good if b.strength == top or (b.strength and b.zone in frames)]
     outside = sum(len(b.text) for b in good) - sum(len(b.text) for b in inside)
     if outside <= 3 * sum(len(b.text) for b in inside):
         good = inside  # the strongest container holds the article; a teaser in a small one does not
@@ -271,10 +305,12 @@ def extract_pages(pages: DataFrame, rules: Rules = Rules()) -> DataFrame:
         text = main_text(html, rules)
         return page_id, url, text, len(text)
 
+    whole = isinstance(pages.schema["page_id"].dataType, T.IntegralType)
     run = arrow_rows(
         row, ["page_id", "url", "html"], ["page_id", "url", "text", "n_chars"],
-        [pa.int64(), pa.string(), pa.string(), pa.int64()], size=512,
+        [pa.int64() if whole else pa.string(), pa.string(), pa.string(), pa.int64()], size=512,
     )
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(
-        run, "page_id long, url string, text string, n_chars long"
+    kind = "long" if whole else "string"
+    return pages.select(F.col("page_id").cast(kind), "url", "html").mapInArrow(
+        run, f"page_id {kind}, url string, text string, n_chars long"
     )

@@ -1,6 +1,9 @@
 import re
+import time
 from html import unescape
 
+import pytest
+
 from attesta.llm import html_extract as H
 
 LONG = "The river runs along the old wall of the town and it turns to the west where the mills of the valley stand in a row by the bridge."
@@ -57,3 +60,50 @@ def test_given_pages_against_plain_cut(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     want = {r["page_id"]: cut(r["html"]) for r in pages.collect()}
     assert {r["page_id"]: r["text"] for r in H.extract_pages(pages).collect()} == want
+
+
+POLISH = "Rzeka płynie wzdłuż starego muru miasta i skręca na zachód, gdzie przy moście stoją w rzędzie młyny całej doliny, a dalej zaczyna się gęsty las."
+
+
+def test_headline_and_lead_around_the_article():
+    page = f"<body><p>{LONG} Outside.</p><main><h1>Mills</h1><p>{LONG} Lead.</p><article><p>{LONG}</p></article></main></body>"
+    assert H.main_text(page).split("\n\n") == ["Mills", LONG + " Lead.", LONG]
+
+
+def test_weak_names_inside_of_an_article():
+    inner = f'<div class="entry-header"><h1>Mills</h1></div><p class="alert-level">{LONG}</p><div class="side-by-side"><p>{LONG} Two.</p></div>'
+    furniture = f'<div class="alert"><p>{LONG}</p></div><div class="share-box"><p>{LONG}</p></div>'
+    assert H.main_text(f"<article>{inner}{furniture}</article>").split("\n\n") == ["Mills", LONG, LONG + " Two."]
+    assert H.main_text(f'<div class="page-header"><p>{LONG}</p></div><article><p>{LONG} Two.</p></article>') == LONG + " Two."
+
+
+def test_bare_pages_without_known_stop_words():
+    links = "".join(f'<p><a href="/{i}">Some link text {i}</a></p>' for i in range(4))
+    assert H.main_text(f"<body>{links}<p>{POLISH}</p><p>Krótko.</p><p>{POLISH}</p>{links}</body>").split("\n\n") == [POLISH, "Krótko.", POLISH]
+    assert H.main_text(f"<body>{links}<p>Raz.</p><p>Dwa.</p></body>").split("\n\n") == ["Raz.", "Dwa."]
+    assert H.main_text(f"<body>{links}</body>") == ""
+
+
+@pytest.mark.parametrize(
+    "markup",
+    ["<b>" * 60000 + "</i>" * 60000, '<a "' * 200000, '<a ">"' * 120000, "<b>" * 60000 + "<tr></tr>" * 60000, "<a href='" * 90000,
+     "<script>" + "</script" * 100000, "<!-" * 200000, "<p>" + "<i>" * 100000 + "<p>x" * 100000, "<!--" * 150000, "<td>" * 150000],
+)
+def test_unclosed_markup_takes_linear_time(markup):
+    def seconds(page):
+        begin = time.process_time()
+        H.main_text(page)
+        return time.process_time() - begin
+
+    assert seconds(markup) < 5
+
+
+def test_unclosed_comments():
+    assert H.main_text(f"<article><p>{LONG}<!-- x <p>y</p>") == LONG
+    assert H.main_text(f"<article><p>{LONG}</p><!-- x") == LONG
+    assert H.main_text(f"<article><p>{LONG}</p>1 < 2 <a 3") == f"{LONG}\n\n1 < 2 <a 3"
+
+
+def test_page_ids_that_are_no_numbers(spark):
+    pages = spark.createDataFrame([("a-1", "u", f"<article><p>{LONG}</p></article>")], "page_id string, url string, html string")
+    assert [tuple(r) for r in H.extract_pages(pages).collect()] == [("a-1", "u", LONG, len(LONG))]
