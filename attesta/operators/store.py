@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions.urls import normalize_submitted_url
+from attesta.operators.ordering import number_in_ranges
 
 SOURCE_FIELDS = (
     "source_id", "source_type", "submitted_by_candidate", "access_status", "ownership_status",
@@ -19,6 +20,19 @@ RUN_FIELDS = (
     "assessment_id", "state", "error_code", "pipeline_version", "contract_version",
     "rubric_version", "track", "assessment_input", "scoring_context", "result", "review_flags", "stages",
 )
+CONTEXT_FIELDS = ("contract_version", "rubric_version", "track", "criterion_bindings", "rule_triggers", "review_flags", "project_exclusion_ids")
+RESULT_FIELDS = (
+    "track", "categories", "criteria", "category_caps", "raw_total", "overall_caps", "applicable_overall_cap",
+    "final_score", "band", "strengths", "material_gaps", "project_id", "qa_status",
+)
+# Versions of the contract and rubric, and the stages of a run in their order.
+CONTRACT, RUBRIC = "1.2.0", "V2"
+STAGES = (
+    "validate_input", "verify_cv_hash", "extract_cv", "retrieve_links", "normalize_evidence", "classify_higher_order",
+    "assemble_scoring_context", "score_assessment",
+)
+#: The stage a run ends with by its error code; all others reach the last one.
+ENDS_WITH = {"EVIDENCE_NORMALIZATION_FAILED": "normalize_evidence"}
 DOCUMENT_FIELDS = ("document_id", "storage_path", "original_filename", "media_type", "sha256", "byte_size")
 
 
@@ -154,6 +168,61 @@ def run_tree(facts: DataFrame, sources: DataFrame, outcomes: DataFrame, runs: Da
     }
 
 
+def stored_runs(runs: DataFrame, bindings: DataFrame, context: DataFrame, scored: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Run rows with what the batch found out about them: scoring context and result as canonical JSON, flags, stages.
+
+    A run that failed before its context was made has none, and only a completed run has a result. A context holds 26
+    criterion bindings; the evidence behind them is in rows (``binding.binding_evidence``), for it grows with the run.
+    """
+    per_run = bindings.groupBy("run_id").agg(
+        F.array_sort(F.collect_list(F.struct("criterion_id", "anchor", "n_evidence"))).alias("criterion_bindings")
+    )
+    versions = {"contract_version": F.lit(CONTRACT), "rubric_version": F.lit(RUBRIC)}
+    contexts = context.join(per_run, "run_id").withColumns(versions).select(
+        "run_id", "review_flags", canonical_json(list(CONTEXT_FIELDS)).alias("scoring_context")
+    )
+    results = scored.select("run_id", canonical_json(list(RESULT_FIELDS)).alias("result"))
+    length = F.lit(len(STAGES))
+    for code, stage in ENDS_WITH.items():
+        length = F.when(F.col("error_code") == code, STAGES.index(stage) + 1).otherwise(length)
+    rows = (
+        runs.join(outcomes.select("run_id", "state", "error_code", "final_score", "band"), "run_id")
+        .join(contexts, "run_id", "left").join(results, "run_id", "left")
+        .withColumns(versions)
+        .withColumns({
+            "result": F.when(F.col("state") == "COMPLETED", F.col("result")),
+            "review_flags": F.coalesce("review_flags", F.array().cast("array<string>")),
+            "stages": F.slice(F.array(*[F.lit(s) for s in STAGES]), F.lit(1), length),
+        })
+    )
+    return with_fields(rows, (*RUN_FIELDS, "final_score", "band"))
+
+
+def ordered_rows(children: DataFrame, keys: list[str], order: list[str], name: str = "child_no") -> DataFrame:
+    """Children with their position under their key. Keys with any number of children are split over tasks."""
+    return number_in_ranges(children, keys, order, name)
+
+
+def run_children(tree: dict[str, DataFrame]) -> DataFrame:
+    """Sources and evidence of all runs as rows: (run_id, part, child_no, child_id, body).
+
+    ``body`` is the child's canonical JSON; positions follow the IDs. No run is gathered into one row.
+    """
+    def part(name: str, fields: tuple, key: str) -> DataFrame:
+        return with_fields(tree[name], fields).select(
+            "run_id", F.lit(name).alias("part"), F.col(key).alias("child_id"), canonical_json(list(fields)).alias("body")
+        )
+
+    rows = part("sources", SOURCE_FIELDS, "source_id").unionByName(part("evidence", EVIDENCE_FIELDS, "evidence_id"))
+    return ordered_rows(rows, ["run_id", "part"], ["child_id", "body"]).select("run_id", "part", "child_no", "child_id", "body")
+
+
+def write_children(children: DataFrame, path: str) -> None:
+    """Append children so that each file holds a range of runs in reading order; a lookup by run reads few files."""
+    order = ["run_id", "part", "child_no"]
+    children.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("append").parquet(path)
+
+
 def write_run_tree(tree: dict[str, DataFrame], path: str) -> None:
     """Append the tables of a run tree below a folder."""
     for name, table in tree.items():

@@ -17,7 +17,7 @@ from attesta.session import shared_folder
 from attesta.streaming import batches, events as EV
 from attesta.streaming.tables import run_available, write_batch
 from entries import base, chain
-from entries.assessment_queries import scored, technical
+from entries.assessment_queries import OUTCOMES, scored, technical
 from entries.base import q, read_table, register, sql_in
 from entries.chain import RULES, sql, staged
 from entries.post_queries import SQL_KEYS, record_sql, records, sql_first_posts
@@ -235,6 +235,39 @@ def f8(spark, folder):
     )
 
 
+@register("a13_stored_results", sql("scores", f"""SELECT o.run_id, o.state, coalesce(x.flags, '') AS flags, x.triggers, x.run_id IS NOT NULL AS has_context,
+  CASE WHEN o.state = 'COMPLETED' THEN s.raw_total END::BIGINT AS raw_total, CASE WHEN o.state = 'COMPLETED' THEN c.project_id END AS project_id,
+  CASE WHEN o.error_code = 'EVIDENCE_NORMALIZATION_FAILED' THEN 5 ELSE 8 END AS n_stages, TRUE AS consistent
+FROM ({OUTCOMES}) o LEFT JOIN context x ON x.run_id = o.run_id LEFT JOIN scored s ON s.run_id = o.run_id LEFT JOIN choices c ON c.run_id = o.run_id"""))
+def a13_results(spark, folder):
+    """Context, result, flags and stages of all runs, written and read back; the values come out of the stored JSON."""
+    st, path = staged(spark, folder), folder_for(spark)
+    store.stored_runs(base.runs(spark, folder), st.bindings, st.context, st.scored, st.outcomes).write.parquet(path)
+    kept = spark.read.parquet(path)
+    rows = kept.withColumns({"context": F.col("scoring_context"), "n_flags": F.size("review_flags")})
+    triggers = F.array_join(F.from_json(F.get_json_object("context", "$.rule_triggers"), "array<string>"), ",")
+    return rows.select(
+        "run_id", "state", F.array_join("review_flags", ",").alias("flags"), triggers.alias("triggers"),
+        F.col("context").isNotNull().alias("has_context"), F.get_json_object("result", "$.raw_total").cast("long").alias("raw_total"),
+        F.get_json_object("result", "$.project_id").alias("project_id"), F.size("stages").alias("n_stages"),
+        store.run_state_consistent().alias("consistent"),
+    )
+
+
+@register("a14_child_rows", sql("facts", """SELECT run_id, 'sources' AS part, source_id AS child_id, row_number() OVER (PARTITION BY run_id ORDER BY source_id)::INT AS child_no FROM sources
+UNION ALL SELECT run_id, 'evidence', evidence_id, row_number() OVER (PARTITION BY run_id ORDER BY evidence_id)::INT FROM facts"""))
+def a14_rows(spark, folder):
+    path = folder_for(spark)
+    store.write_children(store.run_children(_tree(spark, folder)), path)
+    return spark.read.parquet(path).select("run_id", "part", "child_id", "child_no")
+
+
+@register("f8_ordered_turns", "SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS child_no FROM conversations")
+def f8_turns(spark, folder):
+    turns = read_table(spark, folder, "conversations").select("conv_id", "turn", F.length("text").alias("n"))
+    return store.ordered_rows(turns, ["conv_id"], ["turn"]).select("conv_id", "turn", "n", "child_no")
+
+
 @register("g6_canonical_links", "SELECT page_id AS run_id, page_id AS link_id, page_id % 3 = 0 AS ambiguous FROM pages")
 def g6(spark, folder):
     pages = read_table(spark, folder, "pages")
