@@ -56,6 +56,11 @@ def row_digest(columns: list[str]) -> Column:
     return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit("second"), text).alias("b"))
 
 
+def given_id(prefix: str, *columns: str) -> Column:
+    """An ID that follows from a row's values, so a repeated batch gives the same one."""
+    return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("|", *columns), 256), 1, 12))
+
+
 def group_digest(hash_col: str = "_h") -> Column:
     """Digest of a group of rows that does not depend on their order.
 

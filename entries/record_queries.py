@@ -673,7 +673,7 @@ def k2(spark, folder):
 @register("k3_given_identity", "SELECT doc_id AS run_id, 'run-' || substr(sha256(doc_id || '|' || source), 1, 12) AS given_id FROM documents")
 def k3(spark, folder):
     rows = read_table(spark, folder, "documents")
-    return rows.select(F.col("doc_id").alias("run_id"), F.concat(F.lit("run-"), F.substring(F.sha2(F.concat_ws("|", "doc_id", "source"), 256), 1, 12)).alias("given_id"))
+    return rows.select(F.col("doc_id").alias("run_id"), store.given_id("run-", "doc_id", "source").alias("given_id"))
 
 
 # volume: the same scoring steps over order lines ------------------------------------------------------
