@@ -12,10 +12,11 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b); the root is the smallest node.
 
     Each round sends every node to its smallest neighbour and rewrites the links between the nodes
-    that remain, so a round at least halves the nodes that still have links. A minimum is merged by
-    partial aggregation and the joins are plain equi joins, so a node with very many links is split
-    by adaptive execution. Each round is written to the shared folder; the driver only sees whether
-    any link is left.
+    that remain. Crowds and trees of small depth end within a few rounds; a path of n nodes in
+    ascending order takes about n rounds, for each moves its links by one node only. A minimum is
+    merged by partial aggregation and the joins are plain equi joins, so a node with very many links
+    is split by adaptive execution. Each round is written to the shared folder; the driver only sees
+    whether any link is left.
     """
     ends = cut(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     steps: list[DataFrame] = []
