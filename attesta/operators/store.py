@@ -178,6 +178,8 @@ def stored_runs(runs: DataFrame, bindings: DataFrame, context: DataFrame, scored
 
     A run that failed before its context was made has none, and only a completed run has a result. A context holds 26
     criterion bindings; the evidence behind them is in rows (``binding.binding_evidence``), for it grows with the run.
+    JSON texts are far longer than the stored columns they are made of, so a join must not judge them by those and send
+    them all through the driver: hints keep them in shuffles.
     """
     per_run = bindings.groupBy("run_id").agg(
         F.array_sort(F.collect_list(F.struct("criterion_id", "anchor", "n_evidence"))).alias("criterion_bindings")
@@ -192,7 +194,7 @@ def stored_runs(runs: DataFrame, bindings: DataFrame, context: DataFrame, scored
         length = F.when(F.col("error_code") == code, STAGES.index(stage) + 1).otherwise(length)
     rows = (
         runs.join(outcomes.select("run_id", "state", "error_code", "final_score", "band"), "run_id")
-        .join(contexts, "run_id", "left").join(results, "run_id", "left")
+        .join(contexts.hint("merge"), "run_id", "left").join(results.hint("merge"), "run_id", "left")
         .withColumns(versions)
         .withColumns({
             "result": F.when(F.col("state") == "COMPLETED", F.col("result")),
