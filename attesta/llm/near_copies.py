@@ -1,19 +1,22 @@
-"""Near copies by the Jaccard similarity of word shingles: candidates by MinHash, every link verified.
+"""Near copies by the Jaccard similarity of word shingles: candidates by SimHash and MinHash, every link verified.
 
 1. A task reduces a text to the set of its five-word shingles (64-bit hashes). Equal sets become one node, whose
    name is a 128-bit hash of the set, so exact copies never meet as pairs. A node has its number of shingles, a
    sketch (for each of 256 classes of hashes whether their number is odd) and 100 minima in 20 bands of five.
-2. Nodes with an equal band are candidates. Two texts of similarity s share a band with probability
-   1 - (1 - s^5)^20: 99.96 % at 0.8 and more above. This is the only step that can lose a pair.
-3. Two tests drop candidates without reading their sets, and never a pair that is similar enough: the smaller set
+2. The SimHash operator (``simhash.near_duplicates``, on five-word shingles) groups the texts by its pigeonhole
+   search; every node of a group is a candidate with the group's smallest. Similar texts may differ in more bits
+   than any pigeonhole search reaches, so step 3 provides the rest.
+3. Nodes with an equal band are candidates. Two texts of similarity s share a band with probability
+   1 - (1 - s^5)^20: 99.96 % at 0.8 and more above. Only a pair that both steps miss is lost.
+4. Two tests drop candidates without reading their sets, and never a pair that is similar enough: the smaller set
    must have 80 % of the larger one's shingles, and sketches that differ in more bits than similar sets can differ
    in shingles rule a pair out.
-4. First every node of a bucket is compared with one centre of it, so a crowd of near copies is linked in as many
+5. First every node of a bucket is compared with one centre of it, so a crowd of near copies is linked in as many
    comparisons as it has rows. Then only nodes of different groups are still compared, and those of the smaller
    group ask.
-5. Each comparison counts the common shingles of both sets. Components of the links make the groups.
+6. Each comparison counts the common shingles of both sets. Components of the links make the groups.
 
-Sets are made again from the text for nodes that share a bucket, and for no others.
+Sets are made again from the text for nodes that share a bucket or a SimHash group, and for no others.
 """
 
 from __future__ import annotations
@@ -149,6 +152,23 @@ def centre_pairs(entries: DataFrame) -> DataFrame:
     ).select(F.col("node").alias("a"), F.col("c_node").alias("b"))
 
 
+def simhash_pairs(docs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Every node of a SimHash group with the group's smallest node. Texts go by their ``version``."""
+    from attesta.llm.simhash import near_duplicates
+
+    names = ["node", "size", *SKETCH]
+    found = near_duplicates(docs.select(F.xxhash64("text").alias("doc_id"), "text").distinct(), WORDS)
+    groups = found.select(F.col("doc_id").alias("version"), F.col("component_id").alias("group"))
+    named = rows.select("node", "version").join(groups, "version").select("node", "group").distinct()
+    entries = cut(named.join(nodes.select(*names), "node"))
+    centres = entries.groupBy("group").agg(F.min(F.struct(*names)).alias("c")).select(
+        "group", *[F.col(f"c.{n}").alias(f"c_{n}") for n in names]
+    )
+    return entries.join(centres, "group").filter(
+        (F.col("node") != F.col("c_node")) & may_be_similar("c_")
+    ).select(F.col("node").alias("a"), F.col("c_node").alias("b"))
+
+
 def cross_pairs(entries: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs of a bucket whose nodes have different roots; those of the smaller group ask."""
     sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
@@ -178,14 +198,16 @@ def near_copies(docs: DataFrame) -> DataFrame:
     listed = nodes.select("node", "size", *SKETCH, F.posexplode("bands").alias("band", "value"))
     shared = listed.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     entries = cut(listed.join(shared.select("band", "value"), ["band", "value"], "left_semi"))
-    wanted = nodes.join(entries.select("node").distinct(), "node", "left_semi").select(
+    alike = cut(simhash_pairs(docs, rows, nodes))
+    paired = alike.select(F.explode(F.array("a", "b")).alias("node"))
+    wanted = nodes.join(entries.select("node").unionByName(paired).distinct(), "node", "left_semi").select(
         "node", F.col("holder.doc_id").alias("_id"), F.col("holder.version").alias("_version")
     )
     texts = docs.select("doc_id", "text").join(
         wanted, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_version"))
     )
     sets = cut(sets_of(texts))
-    links = cut(verified(centre_pairs(entries), sets))
+    links = cut(verified(alike.unionByName(centre_pairs(entries)), sets))
     roots = components(links)
     further = verified(cross_pairs(entries, roots), sets)
     groups = components(links.unionByName(further))

@@ -23,8 +23,9 @@ Defined results: a null, empty or blank text has the fingerprint zero and links
 row without ``doc_id`` links but gives no component its name (null if there is no other); repeated rows
 give a row each; an empty table gives no rows.
 
-The stage ``clean`` does not use these settings, which are those of the query: three bits are far tighter
-than a similarity of 0.8. It removes near copies by verified five-word shingles (``near_copies``). In it,
+The stage ``clean`` removes near copies by verified five-word shingles (``near_copies``). Its candidates come from
+this search on five-word shingles first; three bits are far tighter than its similarity of 0.8, so MinHash bands
+provide the rest. In it,
 texts without words are copies of each other, rows without ``doc_id`` stay, and each group keeps one row;
 rows that repeat a ``doc_id`` with different texts are judged by their texts.
 """

@@ -1,6 +1,8 @@
 import random
 
-from attesta.llm import simhash
+from pyspark.sql import functions as F
+
+from attesta.llm import near_copies, simhash
 from tests.llm import helpers as H
 
 
@@ -62,3 +64,15 @@ def test_repeated_ids_are_judged_by_their_texts(spark):
         rows = [(1, words("a")), (5, words(unique)), (5, words("a")), (5, words("b")), (7, words("b")), (5, words(unique))]
         kept = sorted((r["doc_id"], r["text"]) for r in simhash.clean(H.documents(spark, rows)).collect())
         assert kept == sorted([(1, words("a")), (5, words(unique)), (5, words("b"))])
+
+
+def test_simhash_gives_candidates(spark, monkeypatch):
+    """Near copies within three bits are found without any MinHash band; a look-alike that shares too little is not."""
+    base = [f"w{i}" for i in range(400)]
+    near = [*base[:-1], "other"]
+    assert bin((simhash.fingerprint(" ".join(base), 5) ^ simhash.fingerprint(" ".join(near), 5)) % 2**64).count("1") <= 3
+    none = lambda entries, *_: entries.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    monkeypatch.setattr(near_copies, "centre_pairs", none)
+    monkeypatch.setattr(near_copies, "cross_pairs", none)
+    rows = [(3, " ".join(base)), (4, " ".join(near)), (5, " ".join(reversed(base))), (6, None), (7, "")]
+    assert {r["doc_id"] for r in simhash.clean(H.documents(spark, rows)).collect()} == {3, 5, 6}
