@@ -7,6 +7,9 @@ that space itself, so both cover the same bytes.
    share, after which both go on with a space-marked token. Anchors cut the document into windows.
 2. A window's alignment only depends on its ids. It is computed once by walking both rows of tokens and kept in a
    table of bounded size under the ids of both tokenizers; long windows are walked each time.
+   Where neither tokenizer can reach across a single space between two words, and the second one reads the text
+   unchanged, the text is cut there first: both shares of ids and their alignment then only depend on the stretch, and
+   are kept under its letters, so a known stretch is not tokenised again; new ones are tokenised together.
 3. Corpus counts: ``block_documents`` documents or ``block_links`` different links (a document at least) make a block,
    which carries its different id pairs and their document counts once. Documents refer to their block's pairs by
    position. Counts are summed per pair; the highest count per first id is a table of one row per id of the first
@@ -22,6 +25,8 @@ length are aligned whole; an empty table gives no rows; further columns of the i
 
 from __future__ import annotations
 
+import json
+import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -39,9 +44,12 @@ from attesta.llm.common import cut
 #: A pair of ids as one number: the first id times this, plus the second.
 WIDTH = 1 << 32
 
-#: Windows of more tokens than this are not kept.
+#: Windows and stretches of more tokens than this are not kept.
 LONGEST = 64
 
+#: A single space between two characters that are no white space.
+BORDER = re.compile(r" (?=\S)(?<=\S )")
+
 
 def piece_bytes(path: str) -> tuple[sentencepiece.SentencePieceProcessor, list[bytes]]:
     """The piece tokenizer and the bytes of every id."""
@@ -113,13 +121,25 @@ def walk(a: list[int], b: list[int], first: Vocabulary, second: Vocabulary) -> t
             ahead = a_size[x] - b_size[y]
 
 
+def parts_at_spaces(byte_model: str, model: sentencepiece.SentencePieceProcessor) -> bool:
+    """Whether no token of either tokenizer reaches across a ``BORDER``.
+
+    The pattern of plain byte-level files starts a token at such a space; a merge of pieces would need a piece with a
+    space mark behind another letter.
+    """
+    with open(byte_model, encoding="utf-8") as file:
+        plain = byte_bpe.plain_kind(json.load(file))
+    texts = (model.id_to_piece(i) for i in range(model.get_piece_size()))
+    return plain and not any(a != "▁" and b == "▁" for text in texts for a, b in zip(text, text[1:]))
+
+
 #: The ids of a window of both tokenizers, each row as the bytes of its ids.
 Window = tuple[bytes, bytes]
 
 
 class Aligner:
     """Alignments of texts. Windows are kept in two tables of up to ``kept``: when the newer one is full it becomes the
-    older one, and what is asked for again moves back."""
+    older one, and what is asked for again moves back. Stretches are kept in two further tables in the same way."""
 
     def __init__(self, byte_model: str, piece_model: str, kept: int = 400_000):
         self.encode_first = byte_bpe.encoder(byte_model, special=False)
@@ -128,6 +148,9 @@ class Aligner:
         self.kept = kept
         self.newer: dict[Window, tuple[str, bytes]] = {}
         self.older: dict[Window, tuple[str, bytes]] = {}
+        self.parts = parts_at_spaces(byte_model, self.model)
+        self.near: dict[str, tuple[int, int, str, bytes]] = {}
+        self.far: dict[str, tuple[int, int, str, bytes]] = {}
 
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
         """Ids of both tokenizers and their ends, or None if one of them does not give the bytes back."""
@@ -178,6 +201,67 @@ class Aligner:
         return ";".join(groups), np.frombuffer(b"".join(pairs), np.int64)
 
 
+    def stretches(self, texts: list[str]) -> dict[str, tuple[int, int, str, bytes]] | None:
+        """Numbers of tokens, groups and pairs (as bytes) of different stretches, tokenised in one go, or None if a
+        tokenizer does not give them back."""
+        tokens = self.tokens(" ".join(texts))
+        if tokens is None:
+            return None
+        a, b, a_ends, b_ends = tokens
+        ends = np.cumsum([len(text.encode()) + 1 for text in texts])
+        a_list, b_list = a.tolist(), b.tolist()
+        a_next, b_next = (np.searchsorted(a_ends, ends) + 1).tolist(), (np.searchsorted(b_ends, ends) + 1).tolist()
+        made = {}
+        i = j = 0
+        for text, next_i, next_j in zip(texts, a_next, b_next):
+            groups, pairs = walk(a_list[i:next_i], b_list[j:next_j], self.first, self.second)
+            made[text] = next_i - i, next_j - j, groups, array("q", pairs).tobytes()
+            i, j = next_i, next_j
+        return made
+
+    def learned(self, texts: list[str]) -> dict[str, tuple[int, int, str, bytes]] | None:
+        """As ``stretches``, for those that are not in the nearer table; they are kept in it."""
+        made = {text: self.far[text] for text in texts if text in self.far}
+        # white space at an edge would meet the space between two stretches
+        edged = [text for text in texts if text not in made and (text[0].isspace() or text[-1].isspace())]
+        inner = [text for text in texts if text not in made and text not in edged]
+        for group in [inner, *([text] for text in edged)]:
+            new = self.stretches(group) if group else {}
+            if new is None:
+                return None
+            made |= new
+        for text, found in made.items():
+            if found[0] + found[1] <= LONGEST:
+                if len(self.near) >= self.kept:
+                    self.far, self.near = self.near, {}
+                self.near[text] = found
+        return made
+
+    def by_stretches(self, text: str) -> tuple[int, int, str, np.ndarray] | None:
+        """As ``document``, or None where the text cannot be cut."""
+        if not self.parts or self.model.normalize(text).replace("▁", " ") != " " + text:
+            return None
+        parts = BORDER.split(text)
+        made = [*map(self.near.get, parts)]
+        if None in made:
+            learned = self.learned([*dict.fromkeys(part for part, known in zip(parts, made) if known is None)])
+            if learned is None:
+                return None
+            made = [known or learned[part] for part, known in zip(parts, made)]
+        n_a, n_b, groups, pairs = zip(*made)
+        return sum(n_a), sum(n_b), ";".join(groups), np.frombuffer(b"".join(pairs), np.int64)
+
+    def document(self, text: str) -> tuple[int, int, str, np.ndarray] | None:
+        """(tokens of the first, of the second, groups, pairs) of a whole text, or None if it has no tokens."""
+        if not text:
+            return None
+        cut_up = self.by_stretches(text)
+        if cut_up is not None:
+            return cut_up
+        tokens = self.tokens(text)
+        return None if tokens is None else (len(tokens[0]), len(tokens[1]), *self.align(*tokens))
+
+
 @lru_cache(maxsize=2)
 def aligner(byte_model: str, piece_model: str) -> Aligner:
     """One aligner per worker process."""
@@ -221,17 +305,17 @@ def align_documents(
             held = first = 0
             for row, text in enumerate(batch.column(1)):
                 text = text.as_py() or ""
-                tokens = own.tokens(text)
-                if tokens is None:
+                aligned = own.document(text)
+                if aligned is None:
                     rows.append((block, 0, 0, 0, 0, "", [], [], None, None))
                 else:
-                    groups, links = own.align(*tokens)
+                    n_a, n_b, groups, links = aligned
                     pairs, times = np.unique(links, return_counts=True)
                     places = [met.setdefault(pair, len(met)) for pair in pairs.tolist()]
                     counts += [0] * (len(met) - len(counts))
                     for place in places:
                         counts[place] += 1
-                    sizes = len(tokens[0]), len(tokens[1]), groups.count(";") + 1, len(links)
+                    sizes = n_a, n_b, groups.count(";") + 1, len(links)
                     rows.append((block, *sizes, groups, places, times.tolist(), None, None))
                 in_block += 1
                 held += len(text)

@@ -111,3 +111,31 @@ def test_very_long_texts(text):
     a, b, *ends = own.tokens(text)
     groups, links = own.align(a, b, *ends)
     assert len(links) == len(a) + len(b) - groups.count("|") and groups.count("|") == groups.count(";") + 1
+
+
+def whole(own, text):
+    """The alignment of a text that is tokenised whole."""
+    tokens = own.tokens(text)
+    return None if tokens is None else (len(tokens[0]), len(tokens[1]), *own.align(*tokens))
+
+
+def test_stretches_equal_whole_texts():
+    own = A.Aligner(BYTES, PIECES, kept=50)
+    rng = random.Random(5)
+    texts = ["".join(rng.choice([*LETTERS, " the", " Of", " it's", " é́", " ́x", "\x1c", "\u2003", " 1.5", "don't "]) for _ in range(rng.randint(1, 40))) for _ in range(3000)]
+    cut_up = 0
+    for text in texts:
+        found, want = own.document(text), whole(own, text)
+        cut_up += own.by_stretches(text) is not None
+        assert (found is None) == (want is None)
+        assert found is None or (found[:3] == want[:3] and (found[3] == want[3]).all())
+    assert cut_up > 100 and len(own.near) <= 50 and len(own.far) <= 50
+
+
+def test_known_stretches_are_not_tokenised_again():
+    own, asked = A.Aligner(BYTES, PIECES), []
+    plain = own.encode_first
+    own.encode_first = lambda text: asked.append(text) or plain(text)
+    first = own.document("one two three one two")
+    second = own.document("three two one two one")
+    assert asked == [" one two three"] and first[:2] == second[:2] == whole(own, "one two three one two")[:2]
