@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from attesta.functions import posts as P
+from attesta.functions import text as T
 from attesta.functions import urls as U
 from attesta.operators import posts as O
 from attesta.sources import html as H
@@ -93,3 +94,17 @@ def test_ids_go_on(spark):
     existing = spark.createDataFrame([("SE-009",), ("se-010",), ("EXAMPLE",)], "post_id string")
     got = {r.page_id: r.post_id for r in O.allocate_ids(posts, existing).collect()}
     assert got == {1: "SE-011", 2: "SE-012", 3: "DA-001"}
+
+
+def test_has_words_agrees_with_the_count(spark):
+    texts = ["", " ", "a " * 4, "a " * 5, "\x1c".join("vwxyz"), "\n" + "z　" * 5, "b\x1f" * 6, " c d e\tf", "x" * 50_000, None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    c = F.col("text")
+    assert [tuple(r) for r in rows.select(T.has_words(c, 5), T.word_count(c) >= 5).collect()] == [(w, w) for w in (False, False, False, True, True, True, True, False, False, None)]
+
+
+def test_places_are_only_searched_where_they_may_be(spark):
+    texts = ["In PRETORİA now", "centurıon and Durban", "ſandton", "Cape Town, KwaZulu-Natal", "Durbanville", "none", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "body string")
+    found = [r[0] for r in rows.select(P.places(F.col("body"), T.fold_case(F.concat(F.lit("Head\n"), "body")))).collect()]
+    assert found == ["PRETORİA", "centurıon, Durban", "ſandton", "Cape Town, KwaZulu-Natal", "", "", ""]
