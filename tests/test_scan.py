@@ -74,3 +74,14 @@ def test_a_long_block_does_not_go_along_with_each_sentence(spark):
     found = evidence.scan_sentences(blocks(spark, [text])).agg(F.count("sentence"), F.count("block_quote")).first()
     assert tuple(found) == (16000, 0)
     assert time.time() - began < 15
+
+
+def test_a_link_paragraph_without_a_number_keeps_its_phrase(spark, tmp_path):
+    from entries import base
+
+    folder = str(tmp_path)
+    spark.createDataFrame([(4, "Lorem ipsum.")], "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(4, None, "user", "Dolor.")], "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    spark.createDataFrame([(4, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    found = evidence.scan_sentences(base.link_blocks(spark, folder)).collect()
+    assert [(r.block_ord, r.sent_ord, r.sentence) for r in found] == [(None, 0, base.PHRASES[-1] + ".")]
