@@ -194,3 +194,34 @@ def test_whole_batch_keeps_every_run(spark):
     actions = scoring.priority_actions(batch.scored)
     assert actions.count() == 5 and report.action_mismatches(actions).count() == 0
     assert report.result_shape_errors(batch.scored).count() == 0
+
+
+def test_tables_are_made_when_they_are_asked_for(spark, monkeypatch):
+    from attesta.plans import assessment
+
+    written, write = [], assessment.cut
+
+    def counted(df):
+        written.append(set(df.columns))
+        return write(df)
+
+    monkeypatch.setattr(assessment, "cut", counted)
+    runs = spark.createDataFrame([(1, SE, "h", True)], "run_id int, track string, cv_hash string, links_ok boolean")
+    sources = spark.createDataFrame([(1, "cv", 0, "cv", True, "accessible", "attributed")], SOURCES)
+    batch = assess(runs, sources, cv(spark, ["Built a Django service with Java"]))
+    assert written == []
+    assert batch.technical.count() == 2 and not any("criteria" in columns or "review_flags" in columns for columns in written)
+    steps = len(written)
+    assert batch.technical.count() == 2 and len(written) == steps
+    assert [r.state for r in batch.outcomes.collect()] == ["COMPLETED"]
+    assert sum("criteria" in columns for columns in written) == 1
+    # the levels of the criteria and the facts that count are written once and not computed again by each reader
+    assert sum({"criterion_id", "best_rank"} <= columns for columns in written) == 1
+
+
+def test_claims_are_specific_from_six_words(spark):
+    texts = ["Built it with Java on time", "Built it with Java today", "Built it with Java on\ttime again", None, ""]
+    rows = [(1, f"p{i}", "skill_application", t) for i, t in enumerate(texts)]
+    facts = spark.createDataFrame(rows, "run_id int, locator string, fact_type string, explicit_text string")
+    found = classify.claim_specificity(facts).collect()
+    assert [(r.applications, r.places, r.qualifying, r.level) for r in found] == [(5, 5, 2, "demonstrated")]
