@@ -3,6 +3,8 @@
 What has to hold is declared as rows (:data:`CHECKS`). All tables emit claims (who names a key, who owns it, what it
 weighs) into one relation, one aggregation per rule set, space and key gathers them, and each check is a condition on
 a gathered row. So any number of rule sets costs one shuffle, with partial aggregation for frequent keys, and no join.
+Rule sets that were dealt out by their key before their tables are made (:func:`dealt`) are gathered where they lie:
+then only the rule sets are shuffled, and no rule row and no claim.
 """
 
 from __future__ import annotations
@@ -44,7 +46,6 @@ CHECKS = (
 )
 BY = "ruleset_id"
 VERSION = "V2"
-CLAIMS = "array<struct<space:string,key:string,owners:bigint,users:bigint,weight:bigint,top:bigint,bound:bigint>>"
 READ = {
     "criterion": ("track", "criterion_id", "category_id", "max_points", "rule_id"),
     "category": ("track", "category_id", "max_points"),
@@ -58,15 +59,27 @@ READ = {
 }
 
 
-def rule_tables(spark: SparkSession, rulesets: DataFrame, registry: Registry | None = None) -> dict[str, DataFrame]:
+#: Rule sets of a task; a rule set makes about 1600 claims.
+TASK_RULESETS = 250
+
+
+def dealt(rulesets: DataFrame) -> DataFrame:
+    """The rule sets hashed by their key to so many tasks that none gets much more than ``TASK_RULESETS`` of them."""
+    cores = rulesets.sparkSession.sparkContext.defaultParallelism
+    return rulesets.repartition(max(cores, -(-rulesets.count() // TASK_RULESETS)), BY)
+
+
+def rule_tables(
+    spark: SparkSession, rulesets: DataFrame, registry: Registry | None = None, carried: tuple[str, ...] = ()
+) -> dict[str, DataFrame]:
     """The tables of a rule set, once for each row of ``rulesets`` (ruleset_id), as a start for variants.
 
     ``rulesets`` names the published version each set derives from (``version``; without that column the registry's
     own). Rule tables are broadcast, a few hundred rows each, so the rule sets stay where they lie. Columns that no
-    check reads, such as instructions, are left out.
+    check reads, such as instructions, are left out. Columns ``carried`` of ``rulesets`` go to all rule rows.
     """
     rules = registry or default_registry()
-    keyed = rulesets.select(BY, F.col("version") if "version" in rulesets.columns else F.lit(VERSION).alias("version"))
+    keyed = rulesets.select(BY, *carried, F.col("version") if "version" in rulesets.columns else F.lit(VERSION).alias("version"))
     rows = {name: rules.table(spark, name).select(*columns) for name, columns in READ.items()}
     rows["special"] = spark.createDataFrame([(r,) for r in rules.special_rules], "rule_id string")
     published = {name: F.broadcast(table.withColumn("version", F.lit(VERSION))) for name, table in rows.items()}
@@ -158,10 +171,11 @@ def claims(tables: dict[str, DataFrame], rulesets: DataFrame) -> DataFrame:
     }
     parts = [rulesets.select(BY, F.inline(F.array(*constant_claims())))]
     for name, said in rows.items():
-        found = F.array_compact(F.array(*said))
+        # generated code makes the claims; a null one becomes a row without a space
+        made = tables[name].select(BY, F.inline(F.array(*said)))
+        parts.append(made.filter(F.col("space").isNotNull()))
         if name in several:
-            found = F.concat(found, F.coalesce(several[name], F.array().cast(CLAIMS)))
-        parts.append(tables[name].select(BY, F.inline(found)))
+            parts.append(tables[name].select(BY, F.inline(several[name])))
     owned = tables["alias"].select(
         BY, F.when(F.col("case_sensitive"), F.col("alias")).otherwise(F.lower("alias")).alias("alias"), "subject"
     ).distinct()
@@ -179,7 +193,8 @@ def rule_violations(tables: dict[str, DataFrame], rulesets: DataFrame) -> DataFr
         F.sum("owners").alias("owners"), F.sum("users").alias("users"), F.sum("weight").alias("weight"),
         F.max("top").alias("top"), F.max("bound").alias("bound"),
     )
-    broken = F.array_compact(F.array(*[
-        F.when((F.col("space") == space) & F.expr(when), F.lit(code)) for code, space, when in CHECKS
-    ]))
-    return gathered.select(BY, F.explode(broken).alias("violation"), F.col("key").alias("id"))
+    breaks = {code: (F.col("space") == space) & F.expr(when) for code, space, when in CHECKS}
+    broken = F.array_compact(F.array(*[F.when(holds, F.lit(code)) for code, holds in breaks.items()]))
+    # few rows break a check, so all others leave before the list of broken checks is made
+    odd = gathered.filter(reduce(Column.__or__, breaks.values()))
+    return odd.select(BY, F.explode(broken).alias("violation"), F.col("key").alias("id"))

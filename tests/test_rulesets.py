@@ -48,3 +48,34 @@ def test_one_shuffle(spark):
     plan = rulesets.rule_violations(rulesets.rule_tables(spark, keys), keys)._jdf.queryExecution().executedPlan().toString()
     # one for the gathering, one for the distinct alias owners; rule tables are only broadcast
     assert plan.count("Exchange hashpartitioning") <= 2 and "SortMergeJoin" not in plan and "Cartesian" not in plan
+
+
+def test_dealt_sets_are_gathered_where_they_lie(spark):
+    """Only the rule sets are shuffled, in as many tasks as their number asks for; their violations stay the same."""
+    keys = sets(spark, rulesets.TASK_RULESETS * 9).filter("ruleset_id < 3 OR ruleset_id > 20")
+    held = rulesets.dealt(keys)
+    tables = rulesets.rule_tables(spark, held)
+    tables["band"] = tables["band"].filter((F.col("ruleset_id") != 30) | (F.col("min_score") != 80))
+    checked = rulesets.rule_violations(tables, held)
+    plan = checked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM")
+    assert held.rdd.getNumPartitions() >= 9
+    assert sorted(tuple(r) for r in checked.collect()) == [(30, "band_coverage", str(n)) for n in range(100, 101)] + [
+        (30, "band_coverage", str(n)) for n in range(80, 100)
+    ]
+
+
+def test_carried_columns_go_to_all_rule_rows(spark):
+    keys = sets(spark, 2).withColumn("size", F.col("ruleset_id") + 5)
+    rows = rulesets.rule_tables(spark, keys, carried=("size",))["criterion"]
+    assert rows.columns[:2] == ["ruleset_id", "size"]
+    assert rows.filter("size <> ruleset_id + 5").isEmpty() and rows.count() == 2 * 52
+
+
+def test_null_claims_make_no_violation(spark):
+    """A label without text owns no key, and a cap that is not fixed weighs nothing."""
+    keys = sets(spark, 2)
+    tables = rulesets.rule_tables(spark, keys)
+    empty = (F.col("ruleset_id") == 1) & (F.col("id") == "se.core")
+    tables["label"] = tables["label"].withColumn("label", F.when(empty, " ").otherwise(F.col("label")))
+    assert found(tables, keys) == [(1, "missing_label", "category|se.core")]
