@@ -6,7 +6,9 @@ from attesta.functions import posts as P
 from attesta.functions import text as T
 from attesta.functions import urls as U
 from attesta.operators import posts as O
+from attesta.registry import post_values as V
 from attesta.sources import html as H
+from attesta.sources.blocks import manual_paragraphs
 
 JOB = {
     "@type": ["JobPosting", "Offer"], "title": "Caf&eacute; Systems Engineer", "datePosted": "2025-03-09", "hiringOrganization": {"name": "Blue &amp; Sons"},
@@ -108,3 +110,66 @@ def test_places_are_only_searched_where_they_may_be(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "body string")
     found = [r[0] for r in rows.select(P.places(F.col("body"), T.fold_case(F.concat(F.lit("Head\n"), "body")))).collect()]
     assert found == ["PRETORİA", "centurıon, Durban", "ſandton", "Cape Town, KwaZulu-Natal", "", "", ""]
+
+
+ODD_TEXTS = [
+    "ajava java, Java and JAVASCRIPT, java script; xjs js", "😀 java 😀 sql", "ß and ﬁ before java, git and GitHub",
+    "İstanbul js. HYBRİD, remote role", "ſql before sql, gıt before git, mın 3 years", "on-ſite, ſql, Knowledge of k8s", "éjava ́java java", "_python python_ python",
+    "dimensional modelling, statistics and statistic, power  bi", "ASP.NET .net x.net c# xc# c sharp", "problem-solving skills, problem solving",
+    "Minimum of 3 years, mİnimum 2 yrs, 12 to 14 years, at least 5+ yrs", "a1 year 2 years of experience", "up to 4 yrs", "maximum of 7 years",
+    "submit your github profile. code samples are required", "share a link to your portfolio", "Bachelors, bachelor's degree; xdiploma diploma", "",
+    "ſkills and experİence that you muſt have, with benefits and cooKie talk about us",
+]
+
+
+def odd_rows(spark):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(ODD_TEXTS)], "i int, text string")
+    return rows.withColumn("low", T.fold_case(F.col("text")))
+
+
+def test_search_from_the_first_place_finds_what_the_whole_search_finds(spark):
+    text, low, whole = F.col("text"), F.col("low"), F.lit(False)
+    patterns = [p for labels in V.VOCABULARIES.values() for ps in labels.values() for p in ps]
+    phrases = (*V.SOFT_SKILLS, *V.READINESS)
+    rows = odd_rows(spark).select(
+        "i", P.aligned(text, low).alias("even"),
+        F.array(*[P.first_position(text, (p,), low) for p in patterns]).alias("a"),
+        F.array(*[P.first_position(text, (p,), low, whole) for p in patterns]).alias("b"),
+        P.verbatim(text, phrases, low).alias("c"), P.verbatim(text, phrases, low, whole).alias("d"),
+    ).collect()
+    assert all(r.a == r.b and r.c == r.d for r in rows)
+    # letters that folding takes apart, and letters beyond Java's units, are searched as a whole
+    assert [rows[n].even for n in (0, 1, 3, 4)] == [True, False, False, False]
+    assert sum(x is not None for r in rows for x in r.a) > 20
+    assert P.leading_text(r"\bhtml5?\b") == "html" and P.leading_text(r"(?<!\w)\.net\b") == ".net"
+    assert P.leading_text(r"\b(?:ms\s+)?excel\b") == "" and P.leading_text(r"\bgit\b|\bhg\b") == ""
+
+
+def test_patterns_with_a_look_ahead_match_the_same(spark):
+    told = [p for p, _ in V.YEARS] + [V.DEGREE, V.ROLE_WORDS, V.SENIOR, *V.PORTFOLIO]
+    turned = [P.literal_first(p) for p in told]
+    assert turned[0].startswith(r"(?=\d)") and turned[5].startswith("(?=[bdnt])")
+    every = lambda ps: F.array(*[F.regexp_extract_all("text", F.lit(f"{P.ANY}({p})"), F.lit(0)) for p in ps])
+    rows = odd_rows(spark).select(every(told).alias("a"), every(turned).alias("b")).collect()
+    assert all(r.a == r.b for r in rows) and sum(len(x) for r in rows for x in r.a) > 8
+
+
+def test_patterns_run_only_where_their_words_are(spark):
+    text, low = F.col("text"), F.col("low")
+    patterns = [p for _, p in V.WORK_TYPES] + [V.SE_FLAG, V.DA_FLAG, V.NO_EXPERIENCE]
+    lower = F.lower("text")
+    plain = F.regexp_count(text, F.lit(P.ANY + V.REQUIREMENT_WORDS)) * 4 - F.when(P.found(text, V.PAGE_TALK), 5).otherwise(0)
+    rows = odd_rows(spark).select(
+        F.array(*[P.found(text, p, low) for p in patterns]).alias("a"), F.array(*[P.found(text, p) for p in patterns]).alias("b"),
+        P.requirement_score(text, lower, F.array().cast("array<string>")).alias("c"), plain.alias("d"),
+        P.work_type(text, F.lit(""), low).alias("e"), P.work_type(text, F.lit("")).alias("f"),
+    ).collect()
+    assert all(r.a == r.b and r.c == r.d and r.e == r.f for r in rows)
+    assert min(r.c for r in rows) < 0 or max(r.c for r in rows) > 0
+
+
+def test_pasted_text_is_parted_once(spark):
+    rows = spark.createDataFrame([("a\n\n• b  c\n\nd  e\x1cf",), ("\n\n",), (None,)], "raw string")
+    parted = rows.select(manual_paragraphs(F.col("raw")).alias("p"))
+    assert [r.p for r in parted.collect()] == [["a", "b c", "d e f"], [""], [None]]
+    assert parted._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
